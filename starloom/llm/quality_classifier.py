@@ -101,6 +101,21 @@ def score(docs: DataFrame, views: Views, threshold: float = MIN_PROBABILITY) ->
     return columns(docs).mapInArrow(run, SCHEMA)
 
 
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = MIN_PROBABILITY) -> DataFrame:
+    """The rows of docs, all columns, that the combined views keep; nothing is shuffled."""
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    place = {c: docs.columns.index(c) for c in ("lang", "source", "n_chars")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, source, n_chars = (batch.column(place[c]).to_pylist() for c in ("lang", "source", "n_chars"))
+            for a, b, block in blocks(batch):
+                yield batch.slice(a, b - a).filter(pa.array(shared.value.probabilities(block, lang[a:b], source[a:b], n_chars[a:b])[2] >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @dataclass
 class Rows:
     """Training rows of the two views. The first n are the labelled ones."""

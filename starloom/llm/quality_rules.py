@@ -98,6 +98,24 @@ def score(docs: DataFrame, model: Linear, threshold: float = MIN_PROBABILITY) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that the rules and the model keep: verdicts are made where the rows are, nothing is shuffled."""
+    return filtered(docs, train(docs, labels))
+
+
+def filtered(docs: DataFrame, model: Linear, threshold: float = MIN_PROBABILITY) -> DataFrame:
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, block in blocks(batch):
+                good = ~statistics(block)["base_failed"] & (shared.value.probabilities(block) >= threshold)
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return score(docs, train(docs, read(spark, sf_dir, "labels")))

@@ -146,11 +146,11 @@ def link(fps: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) -> DataFr
     return compared(rows, [], ["fp"], near_pairs(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, n_blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     marked = stored(fingerprints(docs, words), "fingerprints")
     fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    member = components(link(fps.select("fp"), radius))
+    member = components(link(fps.select("fp"), radius, n_blocks))
     joined = stored(fps.join(member, fps.fp == member.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "members")
     # A component of one fingerprint needs no second look-up.
     low = joined.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -158,6 +158,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     return marked.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, words: int = 5, radius: int = 6, n_blocks: int = 8) -> DataFrame:
+    """The rows of docs, all columns, with the smallest doc_id of each component; of repeated rows of one id, one stays."""
+    found = near_duplicates(docs, words, radius, n_blocks)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
