@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from starloom.plans import linalg_queries, pixel_queries, registry, table_queries  # noqa: F401  they register their queries
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
 
 
 def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    raise NotImplementedError
+    return registry.QUERIES["klip_covariance"](spark, sf_dir)
