@@ -13,7 +13,6 @@ scores; repeated rows stay. Without any label 1 all scores are the smoothed prio
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,39 +78,41 @@ def counts(block: Block, sorted_terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def choose(texts: list[str], y: np.ndarray, most: int = TERMS) -> list[tuple[int, str]]:
     """(hash, term) of the terms whose texts have label 1 most beyond chance, by chi-square, then by hash."""
-    df: dict = defaultdict(int)
-    pos = defaultdict(int)
-    where: dict[int, tuple[int, int, int]] = {}
-    low = lowered(pa.array(texts, pa.large_string()))
-    offsets, data = string_parts(low)
-    for a, b in slices(offsets):
-        block = Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
-        for h, doc, start, k in terms(block):
-            frame = pd.DataFrame({"h": h, "d": doc + a, "s": start + offsets[a]}).drop_duplicates(["h", "d"])
-            one = frame.groupby("h").agg(n=("d", "size"), s=("s", "first"))
-            good = frame[y[frame.d.to_numpy()] > 0].groupby("h").size()
-            for t, n, s in zip(one.index.to_numpy(), one.n.to_numpy(), one.s.to_numpy(), strict=True):
-                df[int(t)] += int(n)
-                where.setdefault(int(t), (int(s), k, 0))
-            for t, n in good.items():
-                pos[int(t)] += int(n)
+    offsets, data = string_parts(lowered(pa.array(texts, pa.large_string())))
+
+    def scan() -> Iterator[tuple]:
+        for a, b in slices(offsets):
+            for h, doc, start, k in terms(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])):
+                yield h, doc + a, start + offsets[a], k
+
     n, n1 = len(y), float(y.sum())
     if not n1 or n1 == n:
         return []
-    ranked = []
-    for t, a in pos.items():
-        b = df[t] - a
-        c, d = n1 - a, n - n1 - b
-        chi = n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-        if chi >= CHI2 and a / df[t] >= SHARE:
-            ranked.append((-chi, t))
-    raw = bytes(data)
-    out = []
-    for _, t in sorted(ranked)[:most]:
-        s, k, _ = where[t]
-        e = s + k if k else next((i for i in range(s, len(raw)) if not LETTER[raw[i]]), len(raw))
-        out.append((t, raw[s:e].decode(errors="replace") + ("*" if k else "")))
-    return sorted(out)
+    pairs = [(h[first], doc[first].astype(np.int32)) for h, doc, _, _ in scan() for first in [~pd.DataFrame({"h": h, "d": doc}).duplicated().to_numpy()]]
+    hashes, docs = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    del pairs
+    order = np.argsort(hashes)
+    hashes, docs = hashes[order], docs[order]
+    edge = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1])) if len(hashes) else np.zeros(0, np.int64)
+    if not len(edge):
+        return []
+    a = np.add.reduceat(y[docs], edge)
+    df = np.diff(edge, append=len(hashes))
+    b = df - a
+    c, d = n1 - a, n - n1 - b
+    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * (n - n1), 1e-9)
+    good = np.flatnonzero((chi >= CHI2) & (a >= SHARE * df))
+    good = good[np.lexsort((hashes[edge[good]], -chi[good]))][:most]
+    chosen = np.sort(hashes[edge[good]])
+    names: dict[int, str] = {}
+    raw = data.tobytes()
+    for h, _, start, k in scan():
+        for at in np.flatnonzero(np.isin(h, chosen)):
+            if int(h[at]) not in names:
+                s = int(start[at])
+                e = s + k if k else next((i for i in range(s, len(raw)) if not LETTER[raw[i]]), len(raw))
+                names[int(h[at])] = raw[s:e].decode(errors="replace") + ("*" if k else "")
+    return [(int(t), names[int(t)]) for t in chosen]
 
 
 @dataclass
