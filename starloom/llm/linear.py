@@ -45,29 +45,28 @@ def sparse(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             doc = owner(bounds)
             pair, count = np.unique(doc.astype(np.int64) << 40 | ids, return_counts=True)
             doc, ids = pair >> 40, pair & ((1 << 40) - 1)
-            rows.append(doc + at)
-            cols.append(ids)
-            vals.append(SCALE * count / np.maximum(np.diff(bounds), 1)[doc])
+            rows.append((doc + at).astype(np.int32))
+            cols.append(ids.astype(np.int32))
+            vals.append((SCALE * count / np.maximum(np.diff(bounds), 1)[doc]).astype(np.float32))
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
 
 
 def descend(rows, cols, vals, y, weight, features: int, rounds: int, l2: float) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the weighted logistic loss."""
-    order = np.argsort(rows, kind="stable")
-    rows, cols, vals = rows[order], cols[order], vals[order].astype(np.float32)
-    used, inner = np.unique(cols, return_inverse=True)
-    w, b = np.zeros(len(used)), 0.0
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    used = np.unique(cols)
+    inner = np.searchsorted(used, cols)
+    w, b = np.zeros(len(used), np.float32), 0.0
+    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     total = weight.sum() or 1.0
     for t in range(1, rounds + 1):
         margin = np.bincount(rows, vals * w[inner], len(y)) + b
-        err = weight * (sigmoid(margin) - y) / total
+        err = (weight * (sigmoid(margin) - y) / total).astype(np.float32)
         g = np.bincount(inner, vals * err[rows], len(used)) + l2 * w
-        gb = err.sum()
+        gb = float(err.sum(dtype=float))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = 0.1 / (1 - 0.9**t)
-        w -= step * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w -= (step * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         b -= step * mb / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
     full = np.zeros(features, np.float32)
     full[used] = w

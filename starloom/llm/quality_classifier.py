@@ -42,7 +42,7 @@ def meta_ids(block: Block, lang: list, source: list, n_chars: list) -> np.ndarra
     size = np.diff(block.offsets)
     start = np.sort(np.concatenate([block.offsets[:-1], newline + 1]), kind="stable")
     end = np.sort(np.concatenate([newline, block.offsets[1:]]), kind="stable")
-    doc = np.minimum(np.searchsorted(block.offsets, start, "right") - 1, block.n - 1)
+    doc = np.repeat(np.arange(block.n), lines)  # in order, as the starts are
     short = np.bincount(doc[(end - start) < 30], minlength=block.n)
     log = lambda x: np.int64(np.log2(np.maximum(x, 1)) * 2)
     known: dict[tuple, int] = {}
@@ -118,9 +118,9 @@ def kept(docs: DataFrame, labels: DataFrame, threshold: float = MIN_PROBABILITY)
 
 @dataclass
 class Rows:
-    """Training rows of the two views. The first n are the labelled ones."""
+    """Training rows of a view. The first n are the labelled ones."""
 
-    texts: list[str] = field(default_factory=list)
+    text: bool
     y: list[int] = field(default_factory=list)
     weight: list[float] = field(default_factory=list)
     triples: list = field(default_factory=list)
@@ -129,16 +129,18 @@ class Rows:
     def add(self, rows: list, labels: list[int], weight: float) -> None:
         if not rows:
             return
-        r, c, v = sparse([x["text"] for x in rows], BITS)
-        self.triples.append((r + len(self.y), c, v))
-        self.metas.append(meta_ids(Block.of(pa.array([x["text"] for x in rows], pa.large_string())), [x["lang"] for x in rows], [x["source"] for x in rows], [x["n_chars"] for x in rows]))
+        if self.text:
+            r, c, v = sparse([x["text"] for x in rows], BITS)
+            self.triples.append((r + np.int32(len(self.y)), c, v))
+        else:
+            self.metas.append(meta_ids(Block.of(pa.array([x["text"] for x in rows], pa.large_string())), [x["lang"] for x in rows], [x["source"] for x in rows], [x["n_chars"] for x in rows]))
         self.y += labels
         self.weight += [weight] * len(rows)
 
-    def fit(self, n: int, text: bool) -> Linear:
+    def fit(self, n: int) -> Linear:
         y, w = np.array(self.y, float), np.array(self.weight)
         held = split(y, n)
-        if text:
+        if self.text:
             triple = tuple(np.concatenate(x) for x in zip(*self.triples, strict=True)) if self.triples else None
             return fit_sparse(triple, y, w, held, BITS, KINDS << BITS)
         ids = np.concatenate(self.metas) if self.metas else np.zeros((0, FIELDS), np.int64)
@@ -150,13 +152,13 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, rows: int =
     ids = {d: int(y > 0) for d, _, y in sample}
     first = fetch(docs, list(ids))
     first = [r for r in first if r["doc_id"] in ids]
-    text_rows, meta_rows = Rows(), Rows()
+    text_rows, meta_rows = Rows(True), Rows(False)
     for part in (text_rows, meta_rows):
         part.add(first, [ids[r["doc_id"]] for r in first], 1.0)
     n = len(first)
     taken = set(ids)
     for turn in range(rounds + 1):
-        views = Views(text_rows.fit(n, True), meta_rows.fit(n, False))
+        views = Views(text_rows.fit(n), meta_rows.fit(n))
         if turn == rounds or len(set(ids.values())) < 2:
             break
         scored = stored(score(docs, views).select("doc_id", "p_text", "p_meta"), "cotrain")
