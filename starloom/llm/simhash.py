@@ -14,6 +14,8 @@ result; a null doc_id keeps its row, with the component of the others' smallest
 from __future__ import annotations
 
 import itertools
+import math
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from starloom.llm.buckets import compared, tiled
 from starloom.llm.common import read, stored, tune
 from starloom.llm.graph import components
-from starloom.llm.textblock import blocks
+from starloom.llm.textblock import blocks, mix
 
 WORDS, RADIUS, SEED, PIVOTS = 4, 4, 42, 24
 #: Blocks of bits, of which any two fingerprints within the radius share BLOCKS - RADIUS: 15 choices of 2 of 6.
@@ -101,41 +103,52 @@ def bucket_rows(fps: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) ->
     return fps.select(F.explode(keys).alias("key"), "fp")
 
 
+def forest(group: np.ndarray, near: np.ndarray, radius: int, links) -> tuple[list[int], list[int]]:
+    """Links that connect what all links within the groups do, at most one less than a group's rows, as lists of places.
+
+    `near` doesn't decrease within a group, and places whose values are more than radius apart have no link. links(i, j) is
+    the part of i whose pairs (i, j) are links; j - i is the same for all.
+    """
+    label, found_a, found_b = np.arange(len(group)), [], []
+    at, step = np.arange(len(group)), 1
+    while len(at):
+        at = at[at + step < len(group)]
+        at = at[(group[at] == group[at + step]) & (near[at + step] - near[at] <= radius)]
+        i = at[label[at] != label[at + step]]
+        i = links(i, i + step) if len(i) else i
+        for a in i.tolist():
+            x, y = a, a + step
+            while label[x] != x:
+                x = label[x]
+            while label[y] != y:
+                y = label[y]
+            if x != y:
+                label[max(x, y)] = min(x, y)
+                found_a.append(a)
+                found_b.append(a + step)
+        while len(i) and (label[label] != label).any():
+            label = label[label]
+        step += 1
+    return found_a, found_b
+
+
 def near_pairs(radius: int) -> callable:
     refs = pivots()
 
     def pairs(group: np.ndarray, cols: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Enough of the links within the radius to connect what they connect: at most one less than the rows of a group."""
         fp = cols["fp"].view(np.uint64)
         table = np.stack([popcount(fp ^ p) for p in refs]).astype(np.int16)  # the pivot distance table
         order = np.lexsort((table[0], group))
-        group, fp, table = group[order], fp[order], table[:, order]
-        label = np.arange(len(fp))
-        found_a, found_b = [], []
-        at, step = np.arange(len(fp)), 1
-        while len(at):
-            at = at[at + step < len(fp)]
-            at = at[(group[at] == group[at + step]) & (table[0, at + step] - table[0, at] <= radius)]
-            i = at[label[at] != label[at + step]] if len(at) else at
+        fp, table = fp[order], table[:, order]
+
+        def links(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            step = j[0] - i[0]
             for row in table[1:]:
                 i = i[np.abs(row[i] - row[i + step]) <= radius]
-            i = i[(popcount(fp[i] ^ fp[i + step]) <= radius) & (fp[i] != fp[i + step])]
-            if len(i):
-                # Of these links only those that join two parts are kept.
-                for a, b in zip(i.tolist(), (i + step).tolist(), strict=True):
-                    x, y = a, b
-                    while label[x] != x:
-                        x = label[x]
-                    while label[y] != y:
-                        y = label[y]
-                    if x != y:
-                        label[max(x, y)] = min(x, y)
-                        found_a.append(a)
-                        found_b.append(b)
-                while (label[label] != label).any():
-                    label = label[label]
-            step += 1
-        return fp[found_a].view(np.int64), fp[found_b].view(np.int64)
+            return i[(popcount(fp[i] ^ fp[i + step]) <= radius) & (fp[i] != fp[i + step])]
+
+        a, b = forest(group[order], table[0], radius, links)
+        return fp[a].view(np.int64), fp[b].view(np.int64)
 
     return pairs
 
@@ -158,11 +171,82 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, n
     return marked.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, words: int = 5, radius: int = 6, n_blocks: int = 8) -> DataFrame:
-    """The rows of docs, all columns, with the smallest doc_id of each component; of repeated rows of one id, one stays."""
-    found = near_duplicates(docs, words, radius, n_blocks)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, fp2): 128 bits, the second 64 from the shingle hashes mixed once more."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for _, _, block in blocks(batch):
+                low = block.lower()
+                data, off = low.data.tobytes(), low.offsets.tolist()
+                for a, b in zip(off, off[1:], strict=False):
+                    h = np.unique(np.array(shingle_hashes(data[a:b].split(), words), np.uint64))  # a set: repeats don't outweigh the rest
+                    out.append((majority(h), majority(mix(h))) if len(h) else (0, 0))
+            two = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "fp", "fp2"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
+
+
+def sample_plan(n: int, differing: int = 12, recall: float = 0.93) -> tuple[int, int]:
+    """Bits of a sampled key and number of keys, so that n fingerprints leave some 2**4 in a bucket, and that two which differ in
+    `differing` of the first 64 bits share one with the probability `recall` at least."""
+    bits = min(max(8, (max(n, 1) - 1).bit_length() - 4), 32)
+    same = math.comb(64 - differing, bits) / math.comb(64, bits)
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, radius: int = 26) -> DataFrame:
+    """(doc_id, component_id) by 128-bit fingerprints that differ in at most `radius` bits.
+
+    26 of 128 is an estimated cosine of 0.8 of the shingle sets. At a Jaccard similarity of 0.8 some 19 bits differ. The radius
+    is beyond the pigeonhole principle: buckets are of bits sampled from the first half, their number set for the recall.
+    """
+    marked = stored(wide_fingerprints(docs, words), "fingerprints")
+    fps = stored(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    nodes = fps.where("first is not null")
+    bits, tables = sample_plan(nodes.count())
+    rng = random.Random(SEED)
+    masks = [signed(sum(1 << b for b in rng.sample(range(64), bits))) for _ in range(tables)]
+    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
+    rows = tiled(nodes.select(F.explode(keys).alias("key"), "fp", "fp2", "first"), "key", "first")
+    member = components(compared(rows, [], ["fp", "fp2", "first"], wide_pairs(radius), "a long, b long"))
+    to = fps.join(member, fps["first"] == member["node"], "left").select("fp", "fp2", F.coalesce("root", "first").alias("component_id"))
+    return marked.join(to, ["fp", "fp2"]).select("doc_id", "component_id")
+
+
+def wide_pairs(radius: int) -> callable:
+    refs = pivots(6).reshape(3, 2)
+
+    def pairs(group: np.ndarray, cols: dict) -> tuple[np.ndarray, np.ndarray]:
+        one, two = cols["fp"].view(np.uint64), cols["fp2"].view(np.uint64)
+        table = np.stack([popcount(one ^ p).astype(np.int16) + popcount(two ^ q) for p, q in refs])
+        order = np.lexsort((table[0], group))
+        one, two, table, group = one[order], two[order], table[:, order], group[order]
+
+        def links(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            for row in table[1:]:
+                ok = np.abs(row[i] - row[j]) <= radius
+                i, j = i[ok], j[ok]
+            ok = popcount(one[i] ^ one[j]).astype(np.int16) + popcount(two[i] ^ two[j]) <= radius
+            return i[ok]
+
+        a, b = forest(group, table[0], radius, links)
+        first = cols["first"][order]
+        return first[a], first[b]
+
+    return pairs
+
+
+def representatives(docs: DataFrame, words: int = 5, radius: int = 26) -> DataFrame:
+    """The rows of docs, all columns, with the smallest doc_id of each group of similar texts; of repeated rows of one id, one stays.
+
+    Rows without a doc_id can't be told apart and stay.
+    """
+    keep = similar_groups(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
