@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from starloom.plans import linalg_queries, pixel_queries, registry, table_queries  # noqa: F401  they register their queries
+from starloom.plans import linalg_queries, more_queries, pixel_queries, registry, table_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable]:
