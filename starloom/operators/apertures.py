@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.functions.geometry import centre, pa_of, rho, x_of, y_of
+from starloom.functions.geometry import centre, pa_of, rho
 
 
 def ring(locations: DataFrame, diameter: float, exclude_nearest: int = 0) -> DataFrame:

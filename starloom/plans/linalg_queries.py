@@ -105,7 +105,7 @@ def sky_subtract(spark, d):
 @query()
 def starlight_subtract_measure(spark, d):
     """Inject, subtract with KLIP at two mode counts, derotate, stack and measure at the place of injection."""
-    return rounded(pipeline.inject_and_measure(fr(spark, d).withColumn("ext", F.lit(0)), angle, [(2.2, 30.0, 2.0)], [1, 5], 2.0, N, N), "signal", "snr")
+    return rounded(pipeline.inject_and_measure(fr(spark, d).withColumn("ext", F.lit(0)), angle(), [(2.2, 30.0, 2.0)], [1, 5], 2.0, N, N), "signal", "snr")
 
 
 @query(f"WITH {PX}, b AS (SELECT vec_id AS frame_idx, label AS ext FROM embeddings) SELECT ext, count(*) AS frames, {r6('avg(v)')} AS mean FROM px JOIN b USING (frame_idx, ext) GROUP BY ext")

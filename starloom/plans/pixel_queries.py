@@ -55,18 +55,18 @@ def paired_columns(spark, d):
 
 def _mask(name: str, predicate, sql: str) -> None:
     def run(spark, d):
-        return rounded(px(spark, d).where(predicate).groupBy("y", "x").agg(F.count("*").alias("n"), F.avg("v").alias("v")), "v")
+        return rounded(px(spark, d).where(predicate()).groupBy("y", "x").agg(F.count("*").alias("n"), F.avg("v").alias("v")), "v")
 
     query(f"WITH {PX} SELECT y, x, count(*) AS n, {r6('avg(v)')} AS v FROM px WHERE {sql} GROUP BY y, x", name)(run)
 
 
 RHO, PHI = "sqrt((x - 3.5) * (x - 3.5) + (y - 3.5) * (y - 3.5))", "atan2(y - 3.5, x - 3.5)"
-_mask("annulus_mask", masks.arc(C, C, 1.2, 3.1), f"{RHO} >= 1.2 AND {RHO} <= 3.1")
-_mask("arc_mask", masks.arc(C, C, 1.0, 4.0, 0.3, 2.9, 0.1), f"{RHO} >= 1 AND {RHO} <= 4 AND (({PHI} + 0.1 + 4 * pi()) % (2 * pi())) BETWEEN 0.3 AND 2.9")
-_mask("box_mask_rotated", masks.box(C, C, 3.1, 5.3, 30), f"abs({RHO} * sin({PHI} + radians(30))) <= 1.55 AND abs({RHO} * cos({PHI} + radians(30))) <= 2.65")
-_mask("radial_mask", masks.radial(C, C, 1.1, 3.3), f"{RHO} > 1.1 AND {RHO} < 3.3")
-_mask("half_plane_mask", masks.half_planes(C, C, 25), f"sin({PHI} - radians(25)) > 0")
-_mask("dark_hole_mask", masks.dark_hole(C, C, 3.2, 0.4, 20, True), f"{RHO} <= 3.2 AND (y - 3.5) * cos(radians(20)) - (x - 3.5) * sin(radians(20)) > 0.4")
+_mask("annulus_mask", lambda: masks.arc(C, C, 1.2, 3.1), f"{RHO} >= 1.2 AND {RHO} <= 3.1")
+_mask("arc_mask", lambda: masks.arc(C, C, 1.0, 4.0, 0.3, 2.9, 0.1), f"{RHO} >= 1 AND {RHO} <= 4 AND (({PHI} + 0.1 + 4 * pi()) % (2 * pi())) BETWEEN 0.3 AND 2.9")
+_mask("box_mask_rotated", lambda: masks.box(C, C, 3.1, 5.3, 30), f"abs({RHO} * sin({PHI} + radians(30))) <= 1.55 AND abs({RHO} * cos({PHI} + radians(30))) <= 2.65")
+_mask("radial_mask", lambda: masks.radial(C, C, 1.1, 3.3), f"{RHO} > 1.1 AND {RHO} < 3.3")
+_mask("half_plane_mask", lambda: masks.half_planes(C, C, 25), f"sin({PHI} - radians(25)) > 0")
+_mask("dark_hole_mask", lambda: masks.dark_hole(C, C, 3.2, 0.4, 20, True), f"{RHO} <= 3.2 AND (y - 3.5) * cos(radians(20)) - (x - 3.5) * sin(radians(20)) > 0.4")
 
 
 @query(f"WITH {PX}, m AS (SELECT DISTINCT y, x FROM px WHERE {RHO} <= 3 INTERSECT SELECT DISTINCT y, x FROM px WHERE abs(x - 3.5) > 1 INTERSECT SELECT DISTINCT y, x FROM px WHERE {RHO} > 0.8) SELECT ext, count(*) AS n, {r6('avg(v)')} AS v FROM px SEMI JOIN m USING (y, x) GROUP BY ext")
@@ -92,23 +92,24 @@ def region_parse(spark, d):
 
 
 DQ = "CAST((frame_idx + 3 * y + x) % 32 AS INTEGER)"
-_dq = F.expr("cast((frame_idx + 3 * y + x) % 32 as int)")
+def _dq():
+    return F.expr("cast((frame_idx + 3 * y + x) % 32 as int)")
 
 
 @query(f"WITH {PX} SELECT ext, y, x, count(CASE WHEN ({DQ} & ~8) = 0 THEN v END) AS n, {r6('avg(CASE WHEN (' + DQ + ' & ~8) = 0 THEN v END)')} AS v FROM px GROUP BY ext, y, x")
 def dq_masked_data(spark, d):
-    v = photometry.permitted(F.col("v"), _dq, photometry.INTERPOLATED)
+    v = photometry.permitted(F.col("v"), _dq(), photometry.INTERPOLATED)
     return rounded(px(spark, d).groupBy("ext", "y", "x").agg(F.count(v).alias("n"), F.avg(v).alias("v")), "v")
 
 
 @query(f"WITH {PX} SELECT ext, y, x, bit_or({DQ}) AS dq FROM px GROUP BY ext, y, x")
 def dq_bit_or(spark, d):
-    return px(spark, d).groupBy("ext", "y", "x").agg(F.bit_or(_dq).alias("dq"))
+    return px(spark, d).groupBy("ext", "y", "x").agg(F.bit_or(_dq()).alias("dq"))
 
 
 @query(f"WITH {PX} SELECT frame_idx, ext, y, x, CASE WHEN v > 0.2 THEN {DQ} | 2 ELSE {DQ} END AS dq FROM px")
 def saturation_flag(spark, d):
-    return px(spark, d).select("frame_idx", "ext", "y", "x", photometry.flagged(_dq, F.col("v") > 0.2, photometry.SATURATED).alias("dq"))
+    return px(spark, d).select("frame_idx", "ext", "y", "x", photometry.flagged(_dq(), F.col("v") > 0.2, photometry.SATURATED).alias("dq"))
 
 
 def _linearity_sql() -> str:
@@ -281,19 +282,24 @@ def resample_sql(src: str, sx: str, sy: str, fill: float = 0.0) -> str:
 
 ANG = "radians((frame_idx * 7.0) % 360)"
 TURN = resample_sql("px", f"cos({ANG}) * x + sin({ANG}) * y + 3.5 - cos({ANG}) * 3.5 - sin({ANG}) * 3.5", f"-sin({ANG}) * x + cos({ANG}) * y + 3.5 + sin({ANG}) * 3.5 - cos({ANG}) * 3.5")
-angle = F.pmod(F.col("frame_idx") * 7.0, F.lit(360.0))
+
+
+def angle():
+    return F.pmod(F.col("frame_idx") * 7.0, F.lit(360.0))
+
+
 # Floor of a source coordinate that is a whole number but for rounding can go either way: angles that are multiples of 90 are left to pytest.
 ODD = "(frame_idx * 7) % 90 <> 0"
 
 
 @query(f"WITH {PX}, {TURN} SELECT frame_idx, ext, y, x, round(v, 4) AS v FROM \"to\" WHERE {ODD} AND v IS NOT NULL")
 def derotate_cube(spark, d):
-    return pixels(resample.derotated(fr(spark, d), angle)).where(f"{ODD} and v is not null").withColumn("v", F.round("v", 4))
+    return pixels(resample.derotated(fr(spark, d), angle())).where(f"{ODD} and v is not null").withColumn("v", F.round("v", 4))
 
 
 @query(f"WITH {PX}, {TURN} SELECT ext, y, x, round(avg(v), 4) AS v, count(v) AS n FROM \"to\" WHERE {ODD} GROUP BY ext, y, x HAVING count(v) > 2")
 def adi_stack(spark, d):
-    turned = pixels(resample.derotated(fr(spark, d), angle)).where(ODD)
+    turned = pixels(resample.derotated(fr(spark, d), angle())).where(ODD)
     return turned.groupBy("ext", "y", "x").agg(F.round(F.avg("v"), 4).alias("v"), F.count("v").alias("n")).where("n > 2")
 
 
@@ -382,7 +388,7 @@ def _template(n: int = 4):
 @query()
 def inject_signals(spark, d):
     companions = spark.createDataFrame([(2.0, 30.0, 0.5), (2.5, 200.0, 0.25)], "r_px double, pa_deg double, scale double")
-    return rounded(pixels(resample.injected(fr(spark, d), companions, _template(), angle, clip=0.6)), "v")
+    return rounded(pixels(resample.injected(fr(spark, d), companions, _template(), angle(), clip=0.6)), "v")
 
 
 @query()

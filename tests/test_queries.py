@@ -33,3 +33,12 @@ def test_entry_names_and_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.queries()) <= set(e.queries())
+
+
+def test_import_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, timeout=120)
