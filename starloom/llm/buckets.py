@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm.common import stored
+
 #: Rows of a bucket that one group may hold from a tile.
 TILE = 1024
 
@@ -25,6 +27,25 @@ def tiled(rows: DataFrame, key: str, item: str) -> DataFrame:
     return rows.join(size, key).withColumn("part", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_t")).cast("int")).withColumn("tile", F.explode(pair)).drop("_t")
 
 
+#: Large buckets up to this number are broadcast (some bytes each), once they have been counted.
+FEW = 10_000
+
+
+def tiled_large(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """As tiled(), but rows of buckets of one row stay, and rows are only dealt out anew where large buckets are many.
+
+    For rows most of which share their bucket: the sizes are counted first, and only buckets over TILE rows are looked up.
+    """
+    size = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > TILE).withColumn("_t", F.ceil(F.col("_n") / TILE).cast("int")).drop("_n")
+    size = stored(size, "large-buckets")
+    n = size.count()
+    if not n:
+        return rows.withColumn("part", F.lit(0)).withColumn("tile", F.lit(0).cast("long"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda k: F.least("part", k).cast("long") * (1 << 31) + F.greatest("part", k))
+    out = rows.join(F.broadcast(size) if n <= FEW else size, key, "left").withColumn("_t", F.coalesce("_t", F.lit(1)))
+    return out.withColumn("part", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_t")).cast("int")).withColumn("tile", F.explode(pair)).drop("_t")
+
+
 def twice(part_a: np.ndarray, part_b: np.ndarray, tile: np.ndarray) -> np.ndarray:
     """Whether two items of a tile's group meet in another one too, which counts: that of their part with itself."""
     return (part_a == part_b) & ((tile >> 31) != (tile & ((1 << 31) - 1)))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.buckets import compared, tiled
+from starloom.llm.buckets import compared, tiled, tiled_large
 from starloom.llm.common import read, stored, tune
 from starloom.llm.graph import components
 from starloom.llm.textblock import blocks, mix
@@ -211,7 +211,7 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 26) -> DataFra
     rng = random.Random(SEED)
     masks = [signed(sum(1 << b for b in rng.sample(range(64), bits))) for _ in range(tables)]
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
-    rows = tiled(nodes.select(F.explode(keys).alias("key"), "fp", "fp2", "first"), "key", "first")
+    rows = tiled_large(nodes.select(F.explode(keys).alias("key"), "fp", "fp2", "first"), "key", "first")
     member = components(compared(rows, [], ["fp", "fp2", "first"], wide_pairs(radius), "a long, b long"))
     to = fps.join(member, fps["first"] == member["node"], "left").select("fp", "fp2", F.coalesce("root", "first").alias("component_id"))
     return marked.join(to, ["fp", "fp2"]).select("doc_id", "component_id")
