@@ -224,7 +224,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             for a, b in slices(offsets) if len(ix.terms) else []:
                 doc, term, times = counts(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), ix.terms)
                 cut = np.flatnonzero(np.diff(doc, prepend=-1))
-                for s, e in zip(cut, [*cut[1:], len(doc)], strict=True):
+                for s, e in zip(cut, np.append(cut[1:], len(doc)), strict=False):  # none in a block without a term
                     key = (term[s:e].tobytes(), times[s:e].tobytes())
                     if key not in known:
                         if len(known) > 50_000:

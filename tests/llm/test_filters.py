@@ -106,6 +106,17 @@ def test_nearest_equals_brute_force(spark):
     assert np.mean(hit) > 0.85 and np.mean(clean) < 0.03
 
 
+def test_blocks_with_and_without_terms(spark):
+    rows = [(k, f"word{k} fine text " + ("nasty nasty" if k % 4 == 0 else "good"), int(k % 4 == 0)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.build(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert any(n.startswith("nas") for n in index.names)
+    for where in ("toxic = 0", "toxic = 1", "true"):
+        part = df.where(where).coalesce(1)
+        got = toxicity.score(part, index).join(df, "doc_id").collect()
+        assert len(got) == part.count() and all(r["predicted"] == r["toxic"] for r in got)
+
+
 def test_filtering_keeps_the_columns(spark, edge, labels):
     assert quality_rules.kept(edge, labels).columns == edge.columns
     assert quality_classifier.kept(edge, labels).columns == edge.columns
