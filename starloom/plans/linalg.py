@@ -26,8 +26,11 @@ def stack(column: pd.Series) -> np.ndarray:
     return np.nan_to_num(np.stack([np.array(v, dtype=float) for v in column])) if len(column) else np.zeros((0, 0))
 
 
-def gram_table(se: DataFrame, left: str = "ts", right: str | None = None) -> DataFrame:
-    """(i, j, g): the sum over rows of the outer products of two array columns (the same by default), a partial sum a task."""
+def gram_rows(se: DataFrame, left: str = "ts", right: str | None = None) -> DataFrame:
+    """(i, g): rows of the sum of outer products of two array columns (the same by default).
+
+    A task sends one partial matrix, row by row; rows of a number meet in one task, which adds them up.
+    """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -36,23 +39,34 @@ def gram_table(se: DataFrame, left: str = "ts", right: str | None = None) -> Dat
                 one = stack(df["l"]).T @ stack(df["r"])
                 total = one if total is None else total + one
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "g": total.tolist()})
+            yield pd.DataFrame({"i": np.arange(len(total)), "g": list(total)})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for df in batches:
+            for i, g in zip(df["i"], df["g"], strict=True):
+                sums[i] = sums[i] + g if i in sums else np.array(g)
+        yield pd.DataFrame({"i": list(sums), "g": list(sums.values())})
 
     rows = se.select(F.col(left).alias("l"), F.col(right or left).alias("r")).mapInPandas(part, "i int, g array<double>")
-    return rows.select("i", F.posexplode("g").alias("j", "g")).groupBy("i", "j").agg(F.sum("g").alias("g"))
+    return rows.repartition("i").mapInPandas(added, "i int, g array<double>")
+
+
+def gram_table(se: DataFrame, left: str = "ts", right: str | None = None) -> DataFrame:
+    """(i, j, g) of gram_rows()."""
+    return gram_rows(se, left, right).select("i", F.posexplode("g").alias("j", "g"))
 
 
 def gram(se: DataFrame, left: str = "ts", right: str | None = None) -> np.ndarray:
-    """gram_table() as a matrix on the driver, of a checked size."""
+    """gram_rows() as a matrix on the driver, of a checked size."""
     right = right or left
     n = se.agg(F.max(F.size(left)), F.max(F.size(right))).first()
     if (n[0] or 0) > MAX_FRAMES or (n[1] or 0) > MAX_FRAMES:
         raise ValueError(f"more than {MAX_FRAMES} frames: combine or chunk them first")
-
-    summed = gram_table(se, left, right).collect()
     out = np.zeros((n[0] or 0, n[1] or 0))
-    for r in summed:
-        out[r["i"], r["j"]] = r["g"]
+    got = gram_rows(se, left, right).toArrow()
+    for i, g in zip(got["i"].to_pylist(), got["g"], strict=True):
+        out[i] = g.values.to_numpy()
     return out
 
 
