@@ -108,7 +108,7 @@ def klip_weights(g: np.ndarray, k: int, out: list[np.ndarray] | None = None) ->
     w = np.zeros((n, n))
     if out is None or not any(x.any() for x in out):
         val, vec = top(g, k)
-        return vec @ np.diag(1 / val) @ vec.T @ g
+        return vec @ ((vec.T @ g) / val[:, None])
     for i in range(n):
         keep = np.flatnonzero(~out[i])
         val, vec = top(g[np.ix_(keep, keep)], k)
@@ -124,7 +124,7 @@ def downdate_weights(g: np.ndarray, k: int, out: list[np.ndarray], rank: int) ->
         kept = v * ~out[i][:, None]
         u, _, _ = np.linalg.svd(np.diag(s) @ kept.T @ kept @ np.diag(s))
         basis = u[:, :k]
-        w[:, i] = v @ np.diag(1 / s) @ basis @ basis.T @ np.diag(1 / s) @ v.T @ g[:, i]
+        w[:, i] = v @ ((basis @ (basis.T @ ((v.T @ g[:, i]) / s))) / s)
     return w
 
 
