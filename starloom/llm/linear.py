@@ -37,40 +37,62 @@ class Linear:
         return sigmoid(self.slope * self.margins(block) + self.shift)
 
 
-def sparse(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, features and values of the texts' n-gram shares, each pair once."""
-    rows, cols, vals = [], [], []
+@dataclass
+class Part:
+    """Some rows' n-gram shares: row, place of the feature in `used`, value."""
+
+    rows: np.ndarray
+    inner: np.ndarray
+    used: np.ndarray
+    vals: np.ndarray
+
+    @classmethod
+    def of(cls, rows, features, vals) -> Part:
+        used, inner = np.unique(features, return_inverse=True)
+        return cls(rows.astype(np.int32), inner.astype(np.int32), used.astype(np.int32), vals.astype(np.float32))
+
+    def shifted(self, by: int) -> Part:
+        return Part(self.rows + np.int32(by), self.inner, self.used, self.vals)
+
+
+def sparse(texts: list[str], bits: int) -> list[Part]:
+    """The texts' n-gram shares, each pair of text and feature once, in parts of 64 texts and one kind."""
+    parts = []
     for at in range(0, len(texts), 64):
         for ids, bounds in ngram_ids(Block.of(pa.array(texts[at : at + 64], pa.large_string())), bits):
-            doc = owner(bounds)
-            pair, count = np.unique(doc.astype(np.int64) << 40 | ids, return_counts=True)
-            doc, ids = pair >> 40, pair & ((1 << 40) - 1)
-            rows.append((doc + at).astype(np.int32))
-            cols.append(ids.astype(np.int32))
-            vals.append((SCALE * count / np.maximum(np.diff(bounds), 1)[doc]).astype(np.float32))
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-
-
-def descend(rows, cols, vals, y, weight, features: int, rounds: int, l2: float) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the weighted logistic loss."""
-    used = np.unique(cols)
-    inner = np.searchsorted(used, cols)
-    w, b = np.zeros(len(used), np.float32), 0.0
-    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+            pair, count = np.unique(owner(bounds).astype(np.int64) << 40 | ids, return_counts=True)
+            doc = pair >> 40
+            parts.append(Part.of(doc + at, pair & ((1 << 40) - 1), SCALE * count / np.maximum(np.diff(bounds), 1)[doc]))
+    return parts
+
+
+def margins(parts: list[Part], w: np.ndarray, b: float, n: int) -> np.ndarray:
+    out = np.full(n, float(b))
+    for p in parts:
+        if len(p.rows):
+            low = int(p.rows.min())
+            got = np.bincount(p.rows - low, p.vals * w[p.used][p.inner])
+            out[low : low + len(got)] += got
+    return out
+
+
+def descend(parts: list[Part], y, weight, features: int, rounds: int, l2: float) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the weighted logistic loss, part by part: what is held besides the parts is small."""
+    w, b = np.zeros(features, np.float32), 0.0
+    m, v, mb, vb = np.zeros(features, np.float32), np.zeros(features, np.float32), 0.0, 0.0
     total = weight.sum() or 1.0
     for t in range(1, rounds + 1):
-        margin = np.bincount(rows, vals * w[inner], len(y)) + b
-        err = (weight * (sigmoid(margin) - y) / total).astype(np.float32)
-        g = np.bincount(inner, vals * err[rows], len(used)) + l2 * w
+        err = (weight * (sigmoid(margins(parts, w, b, len(y))) - y) / total).astype(np.float32)
+        g = np.float32(l2) * w
+        for p in parts:
+            g[p.used] += np.bincount(p.inner, p.vals * err[p.rows], len(p.used)).astype(np.float32)
         gb = float(err.sum(dtype=float))
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        m, v = np.float32(0.9) * m + np.float32(0.1) * g, np.float32(0.99) * v + np.float32(0.01) * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = 0.1 / (1 - 0.9**t)
-        w -= (step * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        w -= np.float32(step) * m / (np.sqrt(v / np.float32(1 - 0.99**t)) + np.float32(1e-8))
         b -= step * mb / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
-    full = np.zeros(features, np.float32)
-    full[used] = w
-    return full, float(b)
+    return w, float(b)
 
 
 def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
@@ -104,16 +126,15 @@ def split(y: np.ndarray, n: int) -> np.ndarray:
     return held
 
 
-def fit_sparse(triple, y, weight, held, bits: int, features: int, rounds: int = 100, l2: float = 1e-4) -> Linear:
-    """From rows, features and values; rows in `held` only calibrate. With one class alone the model is that class's constant."""
+def fit_sparse(parts: list[Part], y, weight, held, bits: int, features: int, rounds: int = 100, l2: float = 1e-4) -> Linear:
+    """From parts of rows; rows in `held` only calibrate. With one class alone the model is that class's constant."""
     y = np.asarray(y, float)
     if not len(y) or y.min() == y.max():
         return Linear(np.zeros(features, np.float32), 0.0 if not len(y) else 4.0 * (2 * y[0] - 1), bits)
-    rows, cols, vals = triple
-    full, b = descend(rows, cols, vals, y, np.where(held, 0.0, weight), features, rounds, l2)
+    full, b = descend(parts, y, np.where(held, 0.0, weight), features, rounds, l2)
     model = Linear(full, b, bits)
     if held.any():
-        margin = np.bincount(rows, vals * full[cols], len(y)) + b
+        margin = margins(parts, full, b, len(y))
         model.slope, model.shift = platt(margin[held], y[held])
     return model
 
@@ -121,5 +142,4 @@ def fit_sparse(triple, y, weight, held, bits: int, features: int, rounds: int =
 def fit(texts: list[str], labels: list[int], bits: int = 16) -> Linear:
     """Fits on three quarters of the rows and calibrates on the rest, all given rows being a bounded sample; 0.5 without rows."""
     y = np.asarray(labels, float)
-    triple = sparse(texts, bits) if len(texts) else None
-    return fit_sparse(triple, y, np.ones(len(y)), split(y, len(y)), bits, KINDS << bits)
+    return fit_sparse(sparse(texts, bits), y, np.ones(len(y)), split(y, len(y)), bits, KINDS << bits)

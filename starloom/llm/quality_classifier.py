@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import labelled_sample, read, stored, tune
-from starloom.llm.linear import KINDS, Linear, fit_sparse, platt, sigmoid, sparse, split
+from starloom.llm.linear import KINDS, Linear, Part, fit_sparse, platt, sigmoid, sparse, split
 from starloom.llm.textblock import Block, blocks
 
 #: Bounds of the labelled sample; rounds; pseudo-labels that a view hands over in a round, by class; the least confidence.
@@ -123,15 +123,14 @@ class Rows:
     text: bool
     y: list[int] = field(default_factory=list)
     weight: list[float] = field(default_factory=list)
-    triples: list = field(default_factory=list)
+    parts: list[Part] = field(default_factory=list)
     metas: list[np.ndarray] = field(default_factory=list)
 
     def add(self, rows: list, labels: list[int], weight: float) -> None:
         if not rows:
             return
         if self.text:
-            r, c, v = sparse([x["text"] for x in rows], BITS)
-            self.triples.append((r + np.int32(len(self.y)), c, v))
+            self.parts += [p.shifted(len(self.y)) for p in sparse([x["text"] for x in rows], BITS)]
         else:
             self.metas.append(meta_ids(Block.of(pa.array([x["text"] for x in rows], pa.large_string())), [x["lang"] for x in rows], [x["source"] for x in rows], [x["n_chars"] for x in rows]))
         self.y += labels
@@ -141,10 +140,9 @@ class Rows:
         y, w = np.array(self.y, float), np.array(self.weight)
         held = split(y, n)
         if self.text:
-            triple = tuple(np.concatenate(x) for x in zip(*self.triples, strict=True)) if self.triples else None
-            return fit_sparse(triple, y, w, held, BITS, KINDS << BITS)
+            return fit_sparse(self.parts, y, w, held, BITS, KINDS << BITS)
         ids = np.concatenate(self.metas) if self.metas else np.zeros((0, FIELDS), np.int64)
-        return fit_sparse((np.repeat(np.arange(len(ids)), FIELDS), ids.ravel(), np.ones(ids.size)), y, w, held, META_BITS, 1 << META_BITS)
+        return fit_sparse([Part.of(np.repeat(np.arange(len(ids)), FIELDS), ids.ravel(), np.ones(ids.size))], y, w, held, META_BITS, 1 << META_BITS)
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Views:
