@@ -103,6 +103,7 @@ def first_round(docs: DataFrame, path: str) -> DataFrame:
                         at += size
                 if len(bins.rows) >= 4096:
                     yield bins.batch()
+        tokens.clear()  # an idle worker shouldn't hold them
         yield bins.batch(bins.rest())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, OPEN)

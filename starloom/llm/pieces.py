@@ -206,6 +206,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 gone = null.slice(a, b - a).to_numpy(zero_copy_only=False)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids), mask=pa.array(gone) if gone.any() else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), mask=gone), lists, pa.array(size, mask=gone), pa.array(same, mask=gone)], [c.split()[0] for c in SCHEMA.split(", ")])
+        p.clear()  # an idle worker shouldn't hold them
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

@@ -1,8 +1,9 @@
 """Token ids of whole texts by a byte-level BPE file, each distinct stretch of text tokenised once.
 
 The pre-tokeniser of such a file never joins across a single space before a character that isn't white space: the space
-begins a pre-token there. Cutting in front of those spaces therefore leaves the ids unchanged, and the stretches, mostly words,
-repeat a lot. (A special token's string in a text is ordinary text.)
+begins a pre-token there. Nor does it join a letter with punctuation after it, or a lone line break with either neighbour.
+Cutting there therefore leaves the ids unchanged, and the stretches, mostly words, repeat a lot. (A special token's string in a
+text is ordinary text.)
 """
 
 from __future__ import annotations
@@ -67,6 +68,15 @@ class Tokens:
         after = data[1:]
         plain = (after > 0x20) & (after < 0x7F) | (after >= 0xC3) & (after != 0xE1) & (after != 0xE2) & (after != 0xE3)
         cut[: n - 1] = (data[:-1] == 0x20) & plain
+        # Punctuation after a letter that surely is one: ASCII, or two bytes of Latin-1.
+        before, letter = data[:-1], np.zeros(n, bool)
+        letter[:] = ((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A) & (data < 0x80)
+        letter[1:] |= (before == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+        mark = (after > 0x20) & (after < 0x7F) & ~letter[1:] & ~((after >= 0x30) & (after <= 0x39))
+        cut[1:n] |= letter[:-1] & mark
+        # After a line break that is the only white space between two printable characters.
+        if n > 2:
+            cut[2:n] |= (data[1:-1] == 0x0A) & (data[:-2] > 0x20) & (data[:-2] < 0x7F) & plain[1:]
         cut[off] = True
         start = np.flatnonzero(cut[:n])
         end = np.append(start[1:], n)
