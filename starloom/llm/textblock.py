@@ -13,7 +13,7 @@ _BASE = U(0x9E3779B97F4A7C15)
 _INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 #: Bytes of text that one block holds, unless a single text is longer.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
