@@ -73,7 +73,7 @@ def compared(rows: DataFrame, order: list[str], columns: list[str], pairs: Calla
                 continue
             held.append(batch)
             table = pa.Table.from_batches(held)
-            if table.num_rows < 1 << 14:
+            if table.num_rows < 1 << 14 and table.nbytes < 1 << 24:
                 continue
             # Up to the last group's start; that group may go on in the next batch.
             key, tile = table["key"].to_numpy(), table["tile"].to_numpy()

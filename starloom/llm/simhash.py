@@ -24,14 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.buckets import compared, tiled, tiled_large
+from starloom.llm.buckets import compared, tiled
 from starloom.llm.common import read, stored, tune
 from starloom.llm.graph import components
-from starloom.llm.textblock import blocks, mix
+from starloom.llm.textblock import Block, U, blocks, mix, owner, string_parts
 
 WORDS, RADIUS, SEED, PIVOTS = 4, 4, 42, 24
 #: Blocks of bits, of which any two fingerprints within the radius share BLOCKS - RADIUS: 15 choices of 2 of 6.
 BLOCKS = 6
+#: Keys of the first pass over similar texts.
+FIRST = 3
 COUNT = np.array([bin(k).count("1") for k in range(1 << 16)], np.uint8)
 
 
@@ -171,23 +173,52 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, n
     return marked.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, fp2): 128 bits, the second 64 from the shingle hashes mixed once more."""
+def shingled(block: Block, words: int) -> Iterator[np.ndarray]:
+    """For each text the sorted set of the hashes of its shingles of words; of all its words, where they are fewer."""
+    low = block.lower()
+    starts, ends, bounds = low.words()
+    word = low.hashes(low.prefix_hashes(), starts, ends)
+    own = owner(bounds)
+    last, h = bounds[1:][own], np.zeros(len(word), np.uint64)
+    at = np.arange(len(word))
+    for k in range(words):
+        inside = at + k < last
+        h *= U(0x9E3779B97F4A7C15)
+        h[inside] += word[at[inside] + k]
+    h, whole = mix(h), (at + words <= last) | (at == bounds[own])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield np.unique(h[a:b][whole[a:b]])
+
+
+def set_hash(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED)
+
+
+def shingle_marks(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, node, fp): a hash of the text's set of shingles, and the fingerprint of the set."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, _, block in blocks(batch):
-                low = block.lower()
-                data, off = low.data.tobytes(), low.offsets.tolist()
-                for a, b in zip(off, off[1:], strict=False):
-                    h = np.unique(np.array(shingle_hashes(data[a:b].split(), words), np.uint64))  # a set: repeats don't outweigh the rest
-                    out.append((majority(h), majority(mix(h))) if len(h) else (0, 0))
+            out = [(set_hash(h), majority(h) if len(h) else 0) for _, _, block in blocks(batch) for h in shingled(block, words)]
             two = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "node", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long")
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the hash of each text's set, and the set as 64-bit numbers in order."""
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, block in blocks(batch):
+                sets = list(shingled(block, words))
+                node = np.array([set_hash(h) for h in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "shingles"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles binary")
 
 
 def sample_plan(n: int, differing: int = 12, recall: float = 0.93) -> tuple[int, int]:
@@ -198,54 +229,73 @@ def sample_plan(n: int, differing: int = 12, recall: float = 0.93) -> tuple[int,
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def similar_groups(docs: DataFrame, words: int = 5, radius: int = 26) -> DataFrame:
-    """(doc_id, component_id) by 128-bit fingerprints that differ in at most `radius` bits.
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): texts whose sets of shingles have a Jaccard similarity of `least` at least, over any path.
 
-    26 of 128 is an estimated cosine of 0.8 of the shingle sets. At a Jaccard similarity of 0.8 some 19 bits differ. The radius
-    is beyond the pigeonhole principle: buckets are of bits sampled from the first half, their number set for the recall.
+    Candidates are texts that share a key of bits sampled from the fingerprint; each link is confirmed on the sets. Keys are
+    taken in two passes, so that the second only compares what isn't linked yet.
     """
-    marked = stored(wide_fingerprints(docs, words), "fingerprints")
-    fps = stored(marked.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    nodes = fps.where("first is not null")
+    marked = stored(shingle_marks(docs, words), "shingles")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "distinct-shingles")
     bits, tables = sample_plan(nodes.count())
     rng = random.Random(SEED)
     masks = [signed(sum(1 << b for b in rng.sample(range(64), bits))) for _ in range(tables)]
     keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
-    rows = tiled_large(nodes.select(F.explode(keys).alias("key"), "fp", "fp2", "first"), "key", "first")
-    member = components(compared(rows, [], ["fp", "fp2", "first"], wide_pairs(radius), "a long, b long"))
-    to = fps.join(member, fps["first"] == member["node"], "left").select("fp", "fp2", F.coalesce("root", "first").alias("component_id"))
-    return marked.join(to, ["fp", "fp2"]).select("doc_id", "component_id")
+    rows = nodes.where("first is not null").where(F.col("node") != signed(set_hash(np.zeros(0, np.uint64)))).select("node", "first", F.posexplode(keys).alias("band", "key"))
+    shared = stored(rows.join(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key"), "shared-keys")
+    some = docs.join(shared.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = stored(shingle_sets(some, words).dropDuplicates(["node"]), "shingle-sets")
+    once = stored(confirmed(shared.where(F.col("band") < FIRST).withColumn("root", F.col("node")), sets, least), "links")
+    member = components(once)
+    rest = shared.where(F.col("band") >= FIRST).join(member, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    apart = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    member = components(once.unionByName(confirmed(rest.join(apart, "key"), sets, least)))
+    joined = stored(nodes.join(member, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "members")
+    low = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(joined.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def wide_pairs(radius: int) -> callable:
-    refs = pivots(6).reshape(3, 2)
+def confirmed(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between nodes of rows (key, node, root) that share a key and not the root, and are as similar as `least`."""
+    ready = tiled(rows.select("key", "node", "root"), "key", "node").join(sets, "node")
+    return compared(ready, [], ["node", "root", "shingles"], set_pairs(least), "a long, b long")
+
+
+def set_pairs(least: float) -> callable:
+    far = (1 - least) / (1 + least) + 1e-9  # of both sizes' sum: the most elements in which two such sets differ
 
     def pairs(group: np.ndarray, cols: dict) -> tuple[np.ndarray, np.ndarray]:
-        one, two = cols["fp"].view(np.uint64), cols["fp2"].view(np.uint64)
-        table = np.stack([popcount(one ^ p).astype(np.int16) + popcount(two ^ q) for p, q in refs])
-        order = np.lexsort((table[0], group))
-        one, two, table, group = one[order], two[order], table[:, order], group[order]
+        off, data = string_parts(cols["shingles"])
+        off, data = off // 8, data.view("<u8")
+        size = np.diff(off)
+        order = np.lexsort((size, group))
+        bins = np.bincount(owner(off) * 64 + (data & U(63)).astype(np.int64), minlength=64 * len(size)).reshape(-1, 64).astype(np.int32)[order]
+        begin, end, size, root, node = off[:-1][order], off[1:][order], size[order], cols["root"][order], cols["node"][order]
 
         def links(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            for row in table[1:]:
-                ok = np.abs(row[i] - row[j]) <= radius
-                i, j = i[ok], j[ok]
-            ok = popcount(one[i] ^ one[j]).astype(np.int16) + popcount(two[i] ^ two[j]) <= radius
+            step = j[0] - i[0]
+            i = i[root[i] != root[i + step]]
+            # Sets differ in at least as many elements as their counts by the low bits do: nothing is lost.
+            i = i[np.abs(bins[i] - bins[i + step]).sum(axis=1) <= far * (size[i] + size[i + step])]
+            ok = np.zeros(len(i), bool)
+            for k, a in enumerate(i.tolist()):
+                x, y = data[begin[a] : end[a]], data[begin[a + step] : end[a + step]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[k] = both >= least * (len(x) + len(y) - both) - 1e-9
             return i[ok]
 
-        a, b = forest(group, table[0], radius, links)
-        first = cols["first"][order]
-        return first[a], first[b]
+        a, b = forest(group[order], np.log(size), np.log(1 / least) + 1e-9, links)
+        return node[a], node[b]
 
     return pairs
 
 
-def representatives(docs: DataFrame, words: int = 5, radius: int = 26) -> DataFrame:
+def representatives(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, with the smallest doc_id of each group of similar texts; of repeated rows of one id, one stays.
 
     Rows without a doc_id can't be told apart and stay.
     """
-    keep = similar_groups(docs, words, radius).where("doc_id = component_id").select("doc_id").distinct()
+    keep = similar_groups(docs, words, least).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 

@@ -32,6 +32,31 @@ def test_similar_texts(spark, monkeypatch):
     assert simhash.representatives(docs.limit(0)).count() == 0
 
 
+def replaced(n, rng, tag):
+    """A text of n words and one with two of them replaced, 10 shingles of n - 4."""
+    a = [f"{tag}w{k}" for k in range(n)]
+    b = list(a)
+    x = rng.randrange(4, n // 2 - 5)
+    b[x], b[x + 10] = "p", "q"
+    return " ".join(a), " ".join(b)
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def test_no_link_below_the_similarity(spark):
+    rng, rows = random.Random(1), []
+    for k in range(150):
+        a, b = replaced(93 - k % 12, rng, f"{k}-")
+        same = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        assert 0.75 < same < 0.8
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 300
+
+
 def test_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
