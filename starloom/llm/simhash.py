@@ -14,8 +14,6 @@ result; a null doc_id keeps its row, with the component of the others' smallest
 from __future__ import annotations
 
 import itertools
-import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +30,9 @@ from starloom.llm.textblock import Block, U, blocks, mix, owner, string_parts
 WORDS, RADIUS, SEED, PIVOTS = 4, 4, 42, 24
 #: Blocks of bits, of which any two fingerprints within the radius share BLOCKS - RADIUS: 15 choices of 2 of 6.
 BLOCKS = 6
-#: Keys of the first pass over similar texts.
-FIRST = 3
+#: Keys of a set of shingles and smallest elements in each, odd factors that order the elements, and keys of the first pass.
+BANDS, ROWS, FIRST = 28, 5, 3
+ORDERS = np.array([xxhash.xxh64_intdigest(f"order {k}", 0) & 0xFFFFFFFF | 1 for k in range(BANDS * ROWS)], np.uint32)
 COUNT = np.array([bin(k).count("1") for k in range(1 << 16)], np.uint8)
 
 
@@ -194,17 +193,38 @@ def set_hash(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), SEED)
 
 
+def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set the BANDS keys of ROWS smallest elements each, under as many orders; none for an empty set."""
+    size = np.array([len(h) for h in sets], np.int64)
+    if not size.any():
+        return [np.zeros(0, np.int64)] * len(sets)
+    some = np.flatnonzero(size)
+    high = (np.concatenate([sets[k] for k in some.tolist()]) >> U(32)).astype(np.uint32)
+    start = np.cumsum(size[some]) - size[some]
+    key = np.zeros((len(some), BANDS), np.uint64)
+    for k, order in enumerate(ORDERS):
+        least = np.minimum.reduceat(high * order, start)
+        key[:, k // ROWS] = mix(key[:, k // ROWS] * U(0x9E3779B97F4A7C15) + least + U(k))
+    out = [np.zeros(0, np.int64)] * len(sets)
+    for k, row in zip(some.tolist(), key.view(np.int64), strict=True):
+        out[k] = row
+    return out
+
+
 def shingle_marks(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, fp): a hash of the text's set of shingles, and the fingerprint of the set."""
+    """(doc_id, node, keys): a hash of the text's set of shingles, and the set's keys."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(set_hash(h), majority(h) if len(h) else 0) for _, _, block in blocks(batch) for h in shingled(block, words)]
-            two = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "node", "fp"])
+            node, keys = [], []
+            for _, _, block in blocks(batch):
+                sets = list(shingled(block, words))
+                node += [set_hash(h) for h in sets]
+                keys += band_keys(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -221,27 +241,16 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, shingles binary")
 
 
-def sample_plan(n: int, differing: int = 12, recall: float = 0.93) -> tuple[int, int]:
-    """Bits of a sampled key and number of keys, so that n fingerprints leave some 2**4 in a bucket, and that two which differ in
-    `differing` of the first 64 bits share one with the probability `recall` at least."""
-    bits = min(max(8, (max(n, 1) - 1).bit_length() - 4), 32)
-    same = math.comb(64 - differing, bits) / math.comb(64, bits)
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
-
-
 def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id): texts whose sets of shingles have a Jaccard similarity of `least` at least, over any path.
 
-    Candidates are texts that share a key of bits sampled from the fingerprint; each link is confirmed on the sets. Keys are
-    taken in two passes, so that the second only compares what isn't linked yet.
+    Candidates are texts that share a key: those of ROWS smallest elements are equal with a probability of similarity ** ROWS,
+    so that a pair at 0.8 shares none of BANDS with 1.5e-5. Each link is confirmed on the sets. Keys are taken in two passes,
+    so that the second only compares what isn't linked yet.
     """
     marked = stored(shingle_marks(docs, words), "shingles")
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "distinct-shingles")
-    bits, tables = sample_plan(nodes.count())
-    rng = random.Random(SEED)
-    masks = [signed(sum(1 << b for b in rng.sample(range(64), bits))) for _ in range(tables)]
-    keys = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)))
-    rows = nodes.where("first is not null").where(F.col("node") != signed(set_hash(np.zeros(0, np.uint64)))).select("node", "first", F.posexplode(keys).alias("band", "key"))
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys")), "distinct-shingles")
+    rows = nodes.where("first is not null").select("node", "first", F.posexplode("keys").alias("band", "key"))
     shared = stored(rows.join(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key"), "shared-keys")
     some = docs.join(shared.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(shingle_sets(some, words).dropDuplicates(["node"]), "shingle-sets")

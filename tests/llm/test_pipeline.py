@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from starloom.llm import buckets, simhash
 
@@ -57,6 +59,28 @@ def test_no_link_below_the_similarity(spark):
     assert all(r["doc_id"] == r["component_id"] for r in got) and len(got) == 300
 
 
+def test_pairs_at_the_similarity_are_found(spark):
+    rng, rows = random.Random(2), []
+    for k in range(300):
+        a, b = replaced(94 + k % 3, rng, f"{k}-")
+        assert 0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.81
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] == 2 * k for k in range(300))
+
+
+def test_keys_of_sets_at_the_similarity():
+    rng, missed = np.random.default_rng(4), 0
+    for _ in range(100):
+        sets = []
+        for n in rng.integers(1, 40, 100).tolist():
+            h = rng.integers(0, 1 << 64, 10 * n, np.uint64)
+            sets += [h[: 9 * n], h[n:]]  # 8 of 10 in common
+        keys = simhash.band_keys(sets)
+        missed += sum(not (a == b).any() for a, b in zip(keys[::2], keys[1::2]))
+    assert missed <= 4  # of 10,000; 0.15 expected
+
+
 def test_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
