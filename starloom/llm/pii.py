@@ -106,9 +106,13 @@ def card(f: Feistel, s: str, back: bool) -> str | None:
     return refill(s, body + luhn_digit(body), str.isdigit)
 
 
+#: Country codes, where no separator ends them.
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def phone(f: Feistel, s: str, back: bool) -> str | None:
     """The country code stays, where there is one; all other digits move."""
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", s)
+    head = re.match(r"\+\d{1,3}(?=[ .(-])", s) or re.match(COUNTRY, s)
     head = head[0] if head else ""
     rest = s[len(head) :]
     d = re.sub(r"\D", "", rest)
@@ -215,7 +219,7 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("ipv4", r"(?<![\d.])(?P<ipv4>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\d]|\.\d)", ipv4),
     ("date", r"(?<![\d/.-])(?P<date>[12][0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[12][0-9]{3}|[0-9]{2}\.[0-9]{2}\.[12][0-9]{3})(?![\d/-]|\.\d)", date),
     ("ssn", r"(?<![\d-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\d-])", ssn),
-    ("phone", r"(?<![\w.])(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-][0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?!\d)", phone),
+    ("phone", r"(?<![\w.])(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-][0-9]{2,4}){1,4}|\+[0-9]{1,3}[ .-]?[0-9]{6,14}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?!\d)", phone),
     ("card", r"(?<![\d.])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![\d]|\.\d)", card),
 ]
 ANY = re.compile("|".join(p for _, p, _ in KINDS))
@@ -232,6 +236,21 @@ class Pseudonyms:
         f, act = self.of[kind]
         return act(f, s, self.back)
 
+    def shorter(self, s: str) -> tuple[int, str] | None:
+        """Length and pseudonym of the longest card that begins s and ends before one of its separators.
+
+        The walk goes on until what follows makes no longer card of the new number either, so that it is found again.
+        """
+        ends = [m.start() for m in re.finditer(r"[ -]", s) if m.start() >= 13][::-1]
+        for k, end in enumerate(ends):
+            new = self.value("card", s[:end])
+            if new is not None:
+                more = [s[end:e] for e in (len(s), *ends[:k])]
+                while any(self.value("card", new + x) is not None for x in more):
+                    new = self.value("card", new)
+                return end, new
+        return None
+
     def replace(self, text: str) -> tuple[str, list[str]]:
         out, kinds, at, pos = [], [], 0, 0
         while m := ANY.search(text, pos):
@@ -244,6 +263,10 @@ class Pseudonyms:
                     if m2 and (new := self.value(k, m2[k])) is not None:
                         m, kind = m2, k
                         break
+            end = m.end(kind)
+            if new is None and (m2 := _one("card").match(text, m.start())) and (got := self.shorter(m2["card"])):
+                m, kind, (size, new) = m2, "card", got
+                end = m.start(kind) + size
             if new is None:
                 pos = m.start() + 1
                 while pos < len(text) and text[pos - 1].isalnum() and text[pos].isalnum():
@@ -251,7 +274,7 @@ class Pseudonyms:
                 continue
             out += [text[at : m.start(kind)], new]
             kinds.append(kind)
-            at = pos = m.end(kind)
+            at = pos = end
         return ("".join([*out, text[at:]]), kinds) if kinds else (text, kinds)
 
 

@@ -52,6 +52,22 @@ def test_pseudonyms_round_trip_and_validate():
             assert back.replace(p.replace(text)[0])[0] == text
 
 
+def test_cards_before_numbers_and_phones_without_separators():
+    p, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", back=True)
+    for card in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "4222222222222"):
+        for tail in (" 12/27", " 123", "-123", " 2 items", " 1 2 3", " 123 456"):
+            new, kinds = p.replace(f"card {card}{tail}.")
+            assert kinds == ["card"] and card not in new and new.endswith(tail + ".") and back.replace(new)[0] == f"card {card}{tail}.", (card, tail, new)
+    for text in ("+14155552671", "415 555 2671", "+1 4155552671", "+442071838750", "+4915112345678"):
+        new, kinds = p.replace(f"call {text} now")
+        assert kinds == ["phone"] and text not in new and (text[0] != "+" or new[5:7] == text[:2]) and back.replace(new)[0] == f"call {text} now"
+    for k in range(2000):  # what follows makes no longer card of the new number
+        body = f"4{k:014d}"
+        text = f"{body}{pii.luhn_digit(body)} {k % 1000}"
+        if p.value("card", text) is None:
+            assert p.replace(text)[1] == ["card"] and back.replace(p.replace(text)[0])[0] == text
+
+
 def test_pii_of_documents(spark, docs):
     more = docs.unionByName(spark.createDataFrame([(7000, FULL, "k", 0.0)], docs.schema)).withColumnRenamed("size", "n_pii")
     out = pii.pseudonymise(more)
