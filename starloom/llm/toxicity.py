@@ -27,7 +27,8 @@ from starloom.llm.common import labelled_sample, read, tune
 from starloom.llm.linear import platt, sigmoid
 from starloom.llm.textblock import Block, U, mix, slices, string_parts
 
-#: Bounds of the labelled sample and of the vocabulary; neighbours; examples in a block; least chi-square and share of label 1 of a term.
+#: Bounds of the labelled sample and of the vocabulary; neighbours; examples in a block; least chi-square of a term (of a full
+#: sample, less in proportion for a smaller one) and its least share of label 1.
 SAMPLE_ROWS, SAMPLE_BYTES, TERMS, NEIGHBOURS, BLOCK, CHI2, SHARE = 4000, 32 << 20, 256, 15, 64, 40.0, 0.6
 PREFIXES = (2, 3, 4, 5)
 LEARN = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
@@ -101,7 +102,7 @@ def choose(texts: list[str], y: np.ndarray, most: int = TERMS) -> list[tuple[int
     b = df - a
     c, d = n1 - a, n - n1 - b
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * (n - n1), 1e-9)
-    good = np.flatnonzero((chi >= CHI2) & (a >= SHARE * df))
+    good = np.flatnonzero((chi >= CHI2 * n / SAMPLE_ROWS) & (a >= SHARE * df))
     good = good[np.lexsort((hashes[edge[good]], -chi[good]))][:most]
     chosen = np.sort(hashes[edge[good]])
     names: dict[int, str] = {}

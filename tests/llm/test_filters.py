@@ -117,6 +117,16 @@ def test_blocks_with_and_without_terms(spark):
         assert len(got) == part.count() and all(r["predicted"] == r["toxic"] for r in got)
 
 
+def test_terms_of_small_samples(spark):
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.build(docs, lab)
+    assert len(index.terms) and len(index.ids)
+    got = toxicity.score(docs, index).join(lab, "doc_id").where("not held_out and toxic is not null").collect()
+    assert len({r["score"] for r in got}) > 1
+    part = {y: [r for r in got if r["toxic"] == y] for y in (0, 1)}
+    assert any(r["predicted"] for r in part[1]) and np.mean([r["score"] for r in part[1]]) > np.mean([r["score"] for r in part[0]]) + 0.1
+
+
 def test_filtering_keeps_the_columns(spark, edge, labels):
     assert quality_rules.kept(edge, labels).columns == edge.columns
     assert quality_classifier.kept(edge, labels).columns == edge.columns
