@@ -74,13 +74,13 @@ def klip_subspace(spark, d):
 
 @query()
 def dmd(spark, d):
-    se = combined(spark, d)
+    se = cube(spark, d)
     return energy(se, linalg.dmd(se, 5))
 
 
 @query()
 def trap_coeff(spark, d):
-    se = combined(spark, d)
+    se = cube(spark, d)
     model = se.withColumn("model", F.transform("ts", lambda v, i: F.cos((i + F.col("y") * 3 + F.col("x")).cast("double")) * 0.1 + v * 0))
     planted = model.withColumn("ts", F.zip_with("ts", "model", lambda a, b: a + b * 2.0))
     t = linalg.trap(planted, "model", 3)

@@ -142,3 +142,15 @@ def test_aperture_ring(spark):
 def test_snr_formula(spark):
     df = spark.createDataFrame([(0, 10.0), (1, 1.0), (2, -1.0), (3, 1.0), (4, -1.0)], "k int, v double").withColumn("g", F.lit(1))
     assert np.isclose(apertures.measured(df, ["g"]).first()["snr"], 10 / math.sqrt(1 + 1 / 4))
+
+
+def test_queries_on_all_frames(spark, monkeypatch):
+    from starloom.plans import linalg_queries
+
+    seen = []
+    whole = linalg_queries.cube
+    monkeypatch.setattr(linalg_queries, "cube", lambda s, d: seen.append(whole(s, d)) or seen[-1])
+    for query in (linalg_queries.dmd, linalg_queries.trap_coeff):
+        assert query(spark, "/root/testdata/sf0.001").count()
+    n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+    assert [len(se.first()["ts"]) for se in seen] == [n, n]
