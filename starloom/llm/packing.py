@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import read, stored, tune
-from starloom.llm.textblock import blocks
+from starloom.llm.textblock import blocks, gathered
 from starloom.llm.tokens import Tokens, default_path
 
 CAPACITY, END_ID, SLACK, FAN = 2048, 1, 32, 16
+#: Bytes of text tokenised together, so that a stretch is looked up once for many uses.
+BLOCK = 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: The ids of a piece whose bin isn't full yet; null once it has its place.
 OPEN = SCHEMA + ", ids binary"
@@ -87,8 +89,8 @@ class Bins:
 def first_round(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, bins = _tokens(path), Bins(TaskContext.get().partitionId() << 32)
-        for batch in batches:
-            for a, b, block in blocks(batch):
+        for batch in gathered(batches, BLOCK):
+            for a, b, block in blocks(batch, most=BLOCK):
                 ids, bounds = tokens.encode(block)
                 bounds = bounds.tolist()
                 for k, doc in enumerate(batch.column(0).slice(a, b - a).to_pylist()):

@@ -20,15 +20,16 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import read, tune
-from starloom.llm.textblock import Block, blocks
+from starloom.llm.textblock import Block, blocks, gathered
 
 MARK, UNKNOWN, REMEMBERED = "▁", 10.0, 400_000
+#: Bytes of text encoded together.
+BLOCK = 1 << 20
 SCHEMA = "doc_id long, n_ids long, ids array<int>, decoded_bytes long, round_trip boolean"
 
 
@@ -139,12 +140,10 @@ class Pieces:
         start = np.flatnonzero(cut[:n])
         end = np.append(start[1:], n)
         head = np.isin(start, off)  # these get the mark before the text: \0 before a stretch stands for it, \1 keeps others apart from that
-        code, first = pd.factorize(block.hashes(block.prefix_hashes(), start, end) + head.astype(np.uint64))
-        where = np.full(len(first), -1, np.int64)
-        seen, idx = np.unique(code, return_index=True)
-        where[seen] = idx
-        raw = data.tobytes()
-        distinct = [(b"\0" if h else b"\1" if raw[a] < 2 else b"") + raw[a:b] for a, b, h in zip(start[where].tolist(), end[where].tolist(), head[where].tolist(), strict=True)]
+        code, parts = block.codes(start, end)  # by the bytes, not a hash of them
+        parts = parts.to_pylist()
+        both, code = np.unique(2 * code + head, return_inverse=True)
+        distinct = [(b"\0" if k & 1 else b"\1" if parts[k >> 1][0] < 2 else b"") + parts[k >> 1] for k in both.tolist()]
         new = [s for s in distinct if s not in self.known]
         if new:
             self._learn(new)
@@ -190,9 +189,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
-        for batch in batches:
+        for batch in gathered(batches, BLOCK):
             null = batch.column(1).is_null()
-            for a, b, block in blocks(batch):
+            for a, b, block in blocks(batch, most=BLOCK):
                 ids, bounds = p.encode_block(block)
                 off, data = p.decode_block(ids, bounds)
                 size = np.diff(off)

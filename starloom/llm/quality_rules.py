@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import labelled_sample, read, tune
 from starloom.llm.linear import Linear, fit
-from starloom.llm.textblock import SPACE, Block, U, blocks, mix, owner, sums
+from starloom.llm.textblock import SPACE, Block, blocks, owner, sums
 
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 16 << 20
@@ -32,12 +32,17 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def doubled(group: np.ndarray, value: np.ndarray, keep) -> np.ndarray:
     """For each entry whether its group has an equal value: earlier (keep "first") or anywhere else (keep False)."""
-    return pd.Series(mix(value + group.astype(U) * U(0x9E3779B97F4A7C15))).duplicated(keep=keep).to_numpy()
+    return pd.Series(group * (int(value.max(initial=0)) + 1) + value).duplicated(keep=keep).to_numpy()
+
+
+def joined(code: np.ndarray, apart: int) -> np.ndarray:
+    """Places among the distinct pairs of each code and the one `apart` after it: runs twice as long, told apart exactly."""
+    return pd.factorize(code[:-apart] * (int(code.max(initial=0)) + 1) + code[apart:])[0].astype(np.int64)
 
 
 def statistics(block: Block) -> dict[str, np.ndarray]:
     """The base counts of each text, over the whole of it."""
-    data, prefix = block.data, block.prefix_hashes()
+    data = block.data
     starts, ends, bounds = block.words()
     out = {"n_words": np.diff(bounds)}
     out["word_chars"] = sums((~SPACE[data] & ((data & 0xC0) != 0x80)).astype(np.int64), block.offsets)
@@ -50,16 +55,15 @@ def statistics(block: Block) -> dict[str, np.ndarray]:
     has = np.searchsorted(starts, line_end, "left") > np.searchsorted(starts, line_start, "left")
     line_start, line_end = line_start[has], line_end[has]
     doc = np.searchsorted(block.offsets, line_start, "right") - 1
-    dup = doubled(doc, block.hashes(prefix, line_start, line_end), "first")
+    dup = doubled(doc, block.codes(line_start, line_end)[0], "first")
     out["n_dup_lines"] = np.bincount(doc[dup], minlength=block.n)
 
     # Words in windows that are found twice or more in their text.
-    word, n = block.hashes(prefix, starts, ends), len(starts)
+    h, n = block.codes(starts, ends)[0], len(starts)
     text = owner(bounds)
     if n >= WINDOW:
-        h = np.zeros(n - WINDOW + 1, U)
-        for k in range(WINDOW):
-            h = h * U(0xD1342543DE82EF95) + word[k : k + len(h)]
+        for apart in (1, 2, 4):  # to runs of WINDOW = 8
+            h = joined(h, apart)
         ok = text[: len(h)] == text[WINDOW - 1 :]
         at = np.flatnonzero(ok)
         at = at[doubled(text[at], h[at], False)]

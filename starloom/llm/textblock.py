@@ -80,6 +80,31 @@ class Block:
         inv = powers(len(self.data) + 1)[1]
         return mix((prefix[end] - prefix[start]) * inv[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
+    def parts(self, start: np.ndarray, end: np.ndarray) -> pa.LargeBinaryArray:
+        """The bytes from start to end, for ranges in order that don't overlap."""
+        size = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=size[1:])
+        if len(start) and size[-1] == end[-1] - start[0]:  # one after the other: nothing is copied
+            data = self.data[start[0] : end[-1]]
+        else:
+            edge = np.zeros(len(self.data) + 1, np.int8)
+            some = end > start
+            edge[start[some]] += 1
+            edge[end[some]] -= 1
+            data = self.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(size), pa.py_buffer(np.ascontiguousarray(data))])
+
+    def codes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """For each range the place of its bytes among the distinct ones, and those: by the bytes themselves, not a hash of them."""
+        got = self.parts(start, end).dictionary_encode()
+        return got.indices.to_numpy().astype(np.int64), got.dictionary
+
+    def characters(self) -> Block:
+        """With four bytes a code point."""
+        lead = np.zeros(len(self.data) + 1, np.int64)
+        np.cumsum((self.data & 0xC0) != 0x80, out=lead[1:])
+        return Block(4 * lead[self.offsets], np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint8))
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and the number of words before each text (n + 1 entries)."""
         n = len(self.data)
@@ -99,6 +124,19 @@ class Block:
         return Block(self.offsets, data)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of `least` bytes or more, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Block]]:
     offsets, data = string_parts(batch.column(batch.schema.get_field_index(column)))
     for a, b in slices(offsets, most):
@@ -117,7 +155,7 @@ def owner(bounds: np.ndarray) -> np.ndarray:
 
 
 def ngram_ids(block: Block, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Hashed word 1- and 2-grams and character (byte) 3- and 4-grams: for each kind the feature ids and the bounds by text.
+    """Hashed word 1- and 2-grams and 3- and 4-grams of characters (code points): for each kind the feature ids and the bounds by text.
 
     Kinds lie in ranges of their own: id = kind * 2**bits + hash. N-grams don't cross texts.
     """
@@ -132,7 +170,9 @@ def ngram_ids(block: Block, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     kept = np.zeros(len(two) + 1, np.int64)
     np.cumsum(inside, out=kept[1:])
     out.append((two[inside] & mask, kept[np.minimum(bounds, len(two))]))
-    data, n = low.data.astype(np.uint32), len(low.data)
+    wide = low.characters()
+    data, offsets = wide.data.view("<u4"), wide.offsets // 4
+    n = len(data)
     for size in (3, 4):
         h = np.zeros(max(0, n - size + 1), np.uint32)
         for k in range(size):
@@ -140,11 +180,11 @@ def ngram_ids(block: Block, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
         ok = np.ones(len(h), bool)
-        cut = low.offsets[(low.offsets > 0) & (low.offsets < n)]
+        cut = offsets[(offsets > 0) & (offsets < n)]
         for k in range(1, size):
             at = cut - k
             ok[at[(at >= 0) & (at < len(h))]] = False
         kept = np.zeros(len(h) + 1, np.int64)
         np.cumsum(ok, out=kept[1:])
-        out.append(((h[ok] & np.uint32(mask)).astype(np.int64), kept[np.minimum(low.offsets, len(h))]))
+        out.append(((h[ok] & np.uint32(mask)).astype(np.int64), kept[np.minimum(offsets, len(h))]))
     return [(ids.astype(np.int64) + (k << bits), b) for k, (ids, b) in enumerate(out)]

@@ -2,21 +2,24 @@
 
 The pre-tokeniser of such a file never joins across a single space before a character that isn't white space: the space
 begins a pre-token there. Nor does it join a letter with punctuation after it, or a lone line break with either neighbour.
-Cutting there therefore leaves the ids unchanged, and the stretches, mostly words, repeat a lot. (A special token's string in a
-text is ordinary text.)
+Cutting there therefore leaves the ids unchanged, and the stretches, mostly words, repeat a lot. An added token of the file
+(<|endoftext|>) is a stretch of its own wherever its string is in a text, and gets its id, as from the library. Stretches are told
+apart by their bytes.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
-import pandas as pd
 
 from starloom.llm.textblock import Block
 
 #: Stretches that one worker remembers.
 REMEMBERED = 400_000
+#: Stretches in one call of the library.
+TOGETHER = 1024
 
 
 def default_path() -> str:
@@ -31,7 +34,12 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
+            raise ValueError("an added token that depends on what is around it")
+        # Longest first, as at one place the longest counts.
+        self.added = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added_at = re.compile(b"|".join(map(re.escape, self.added))) if self.added else None
         self.clear()
 
     def clear(self) -> None:
@@ -40,9 +48,12 @@ class Tokens:
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((t for x in ids for t in x), np.uint32, int(size.sum()))
+        ids, size = [], np.zeros(len(new), np.int64)
+        for at in range(0, len(new), TOGETHER):  # each stretch is tokenised by itself; one call for many
+            some = self.tokenizer.encode([s.decode() for s in new[at : at + TOGETHER]], is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(some.ids, np.uint32))
+            size[at : at + TOGETHER] = np.bincount(np.array(some.word_ids, np.int64), minlength=min(TOGETHER, len(new) - at))
+        flat = np.concatenate(ids)
         first, total = len(self.known), self.used + len(flat)
         if total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(total, len(self.pool)), np.uint32)])
@@ -55,6 +66,16 @@ class Tokens:
         self.used = total
         self.known.update((s, first + k) for k, s in enumerate(new))
 
+    def specials(self, block: Block) -> list[tuple[int, int]]:
+        """Starts and ends of the added tokens' strings, each within a text."""
+        if self.added_at is None:
+            return []
+        raw, off = block.data.tobytes(), block.offsets
+        if not any(s in raw for s in self.added):
+            return []
+        texts = zip(off.tolist(), off[1:].tolist(), strict=False)
+        return [m.span() for a, b in texts for m in self.added_at.finditer(raw, a, b)]
+
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids before each text (n + 1 entries)."""
         data, off = block.data, block.offsets
@@ -77,23 +98,23 @@ class Tokens:
         # After a line break that is the only white space between two printable characters.
         if n > 2:
             cut[2:n] |= (data[1:-1] == 0x0A) & (data[:-2] > 0x20) & (data[:-2] < 0x7F) & plain[1:]
+        for a, b in self.specials(block):
+            cut[max(a - 1, 0) : b] = False  # white space before it ends there, as before a text's end
+            cut[a] = cut[b] = True
         cut[off] = True
         start = np.flatnonzero(cut[:n])
         end = np.append(start[1:], n)
         # Positions of texts' ends cut too, so no stretch goes over one.
-        code, first = pd.factorize(block.hashes(block.prefix_hashes(), start, end))
-        where = np.full(len(first), -1, np.int64)
-        seen, idx = np.unique(code, return_index=True)
-        where[seen] = idx
-        raw = data.tobytes()
-        distinct = [raw[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+        code, distinct = block.codes(start, end)
+        distinct = distinct.to_pylist()
         known = self.known
         new = [s for s in distinct if s not in known]
         if new:
             self._learn(new)
-        entry = np.fromiter((known[s] for s in distinct), np.int64, len(distinct))[code]
-        size = self.size[entry]
-        before = np.zeros(len(entry) + 1, np.int64)
+        entry = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        size = self.size[entry][code]
+        before = np.zeros(len(code) + 1, np.int64)
         np.cumsum(size, out=before[1:])
-        ids = self.pool[np.repeat(self.start[entry] - before[:-1], size) + np.arange(before[-1])]
-        return ids, before[np.searchsorted(start, off)]
+        place = np.repeat((self.start[entry][code] - before[:-1]).astype(np.int32), size)  # the pool is far below 2**31
+        place += np.arange(len(place), dtype=np.int32)
+        return self.pool[place], before[np.searchsorted(start, off)]
