@@ -4,10 +4,11 @@ Found and validated: payment card numbers (Luhn), telephone numbers, e-mail addr
 social security numbers (valid areas), IBANs (mod 97), dates (real calendar days) and secrets given as `token = "..."` and the
 like. Each value is permuted, under a key, within its own format: a card stays a Luhn-valid card with its separators, a date a
 date in its notation, hex digits hex digits. The permutation depends on key and kind only, so equal values get equal pseudonyms
-in all documents, and different ones different pseudonyms; unpermute() inverts it with the key. What doesn't validate stays.
+in all documents, and different ones different pseudonyms; with the key, back=True inverts it. What doesn't validate stays.
+The key is the caller's; the query and the pipeline read it from the setting spark.starloom.pii.key.
 
-Edge cases. A null text stays null, an empty one empty, both with 0 findings. Texts are handled whole. Repeated rows get equal
-results. Other columns pass through untouched, whatever their names; the counts are added as n_pii and pii_kinds
+Edge cases. A null text stays null, an empty one empty, both with 0 findings. Texts are handled whole, values of any length in
+linear time. Repeated rows get equal results. Other columns pass through untouched, whatever their names; the counts are added as n_pii and pii_kinds
 (a column of such a name in the input is replaced). An empty table gives an empty result.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,8 +28,9 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import read, tune
 
-#: The key of the query; real use passes a secret of its own.
-KEY = "starloom-example-key"
+#: The setting that holds the key, and the published example that stands in where it is unset: pseudonyms under that one can be
+#: inverted by anyone.
+KEY_SETTING, EXAMPLE_KEY = "spark.starloom.pii.key", "starloom-example-key"
 ROUNDS = 8
 LOWER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
 DAY0, DAY1 = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -39,6 +42,12 @@ class Feistel:
     def __init__(self, key: str, kind: str):
         self.seed = hashlib.blake2b(f"{kind}".encode(), key=hashlib.sha256(key.encode()).digest(), digest_size=32).digest()
 
+    def after(self, before: str) -> Feistel:
+        """The permutation of a part that follows `before`."""
+        out = object.__new__(Feistel)
+        out.seed = hashlib.blake2b(before.encode(), key=self.seed, digest_size=32).digest()
+        return out
+
     def _round(self, r: int, size: int, side: int, x: int) -> int:
         h = hashlib.blake2b(b"%d,%d,%d" % (r, size, x), key=self.seed, digest_size=16).digest()
         return int.from_bytes(h, "big") % side if side < 1 << 60 else int.from_bytes(hashlib.shake_256(h).digest(16 + side.bit_length() // 8), "big") % side
@@ -46,9 +55,7 @@ class Feistel:
     def permute(self, x: int, size: int, back: bool = False) -> int:
         if size < 2:
             return x
-        side = 1
-        while side * side < size:
-            side = max(side + 1, _root(size))
+        side = math.isqrt(size - 1) + 1
         while True:
             a, b = divmod(x, side)
             for r in range(ROUNDS - 1, -1, -1) if back else range(ROUNDS):
@@ -61,15 +68,6 @@ class Feistel:
                 return x
 
 
-def _root(n: int) -> int:
-    x = int(n**0.5)
-    while x * x < n:
-        x += 1
-    while x > 1 and (x - 1) * (x - 1) >= n:
-        x -= 1
-    return x
-
-
 def luhn_digit(body: str) -> str:
     total = 0
     for k, c in enumerate(reversed(body)):
@@ -201,14 +199,45 @@ def date(f: Feistel, s: str, back: bool) -> str | None:
     return None
 
 
+#: Characters of a secret that are permuted as one number; a longer secret is a chain of such parts.
+PART = 64
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+
+
 def secret(f: Feistel, s: str, back: bool) -> str | None:
-    """Hex digits move among hex digits; otherwise letters among letters of their case, digits among digits."""
-    low = s.lower()
-    if re.fullmatch(r"[0-9a-f]+", low) and s in (low, s.upper()):
-        new = in_radix(f, low, HEX, back)
-        return new if s == low else new.upper()
-    got = email(f, s + "@x", back)
-    return got and got[:-2]
+    """Hex digits move among hex digits; otherwise letters among letters of their case, digits among digits.
+
+    Each walk goes on until the new value is of the old one's class, so that it is inverted as such. The parts of a long secret
+    are permuted under keys that depend on the part before (of the pseudonym), so the time is linear in its length.
+    """
+    if not any(c.isalnum() for c in s):
+        return None
+    kind = _secret_class(s)
+    new = s
+    while True:
+        new = _parts(f, new, kind, back)
+        if _secret_class(new) == kind:
+            return new
+
+
+def _secret_class(s: str) -> str:
+    """hex, HEX (with a letter, none of lower case) or other."""
+    return "other" if not _HEX.fullmatch(s) else "hex" if s == s.lower() else "HEX"
+
+
+def _parts(f: Feistel, s: str, kind: str, back: bool) -> str:
+    out, before = [], ""
+    for at in range(0, len(s), PART):
+        part, g = s[at : at + PART], f if not at else f.after(before)
+        if kind == "other":
+            new = email(g, part + "@x", back)
+            new = part if new is None else new[:-2]
+        else:
+            new = in_radix(g, part.lower(), HEX, back)
+            new = new.upper() if kind == "HEX" else new
+        before = part if back else new
+        out.append(new)
+    return "".join(out)
 
 
 #: Kind, pattern and permutation; at one place the first that validates wins.
@@ -283,8 +312,13 @@ def _one(kind: str) -> re.Pattern:
     return re.compile(next(p for k, p, _ in KINDS if k == kind))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", back: bool = False) -> DataFrame:
-    """docs with `text` pseudonymised, and with n_pii int and pii_kinds (sorted, distinct)."""
+def key_of(spark: SparkSession) -> str:
+    """The key in KEY_SETTING, or else the published example."""
+    return spark.conf.get(KEY_SETTING, None) or EXAMPLE_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
+    """docs with `text` pseudonymised under the key, and with n_pii int and pii_kinds (sorted, distinct)."""
     spark = docs.sparkSession
     tune(spark)
     base = docs.drop("n_pii", "pii_kinds")
@@ -320,4 +354,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", back: bool
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return pseudonymise(docs)
+    return pseudonymise(docs, key_of(spark))

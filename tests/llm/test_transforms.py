@@ -4,13 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from starloom.llm import packing, pieces, pii, sharding, warc
+from starloom.llm import packing, pieces, pii, quality_rules, sharding, warc
 from starloom.llm.common import new_path
 from starloom.llm.textblock import Block
 from starloom.llm.tokens import Tokens, default_path
@@ -52,6 +53,59 @@ def test_pseudonyms_round_trip_and_validate():
             assert back.replace(p.replace(text)[0])[0] == text
 
 
+def test_long_values_take_little_time():
+    p, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", back=True)
+    rng, began = random.Random(3), time.monotonic()
+    for size in (16, 36, 40, 64, 65, 200, 240, 400, 4000, 200_000):
+        for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "0123456789ABCDEF", "0123456789", "aZ_-+/9"):
+            text = f'token = "{"".join(rng.choice(alphabet) for _ in range(size))}"'
+            new, kinds = p.replace(text)
+            assert kinds == ["secret"] and new != text and len(new) == len(text) and back.replace(new)[0] == text
+    for size in (40, 64):
+        text = f"to {'ab3' * 30}"[: 3 + size] + "@mail.example.com"
+        new, kinds = p.replace(text)
+        assert kinds == ["email"] and new != text and back.replace(new)[0] == text
+    assert p.replace("a" * 300_000 + "@x.org")[1] == [] and p.replace("token = " * 30_000)[1] == []
+    assert time.monotonic() - began < 20
+
+
+def test_secrets_keep_their_class_and_stay_apart():
+    f = pii.Feistel("k", "x")
+    for s in ("0" * 15 + "A", "0" * 15 + "a", "0" * 16, "0" * 15 + "z", "1234567890ABCDEF"):
+        new = pii.secret(f, s, False)
+        assert pii._secret_class(new) == pii._secret_class(s) and pii.secret(f, new, True) == s
+    digits = {pii.in_radix(f, f"{k:03d}", "0123456789") for k in range(1000)}
+    assert len(digits) == 1000
+
+
+def test_key_from_the_setting(spark):
+    assert pii.key_of(spark) == pii.EXAMPLE_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.key_of(spark) == "mine"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def independent(text):
+    """A plain scan for numbers that validate, without the operator's patterns."""
+    found = set()
+    for m in re.finditer(r"(?<![\d.])\d{13,19}(?![\d.])", text):
+        d = [int(c) for c in m[0]]
+        if len(set(d)) > 1 and sum(v if k % 2 == 0 else sum(divmod(2 * v, 10)) for k, v in enumerate(reversed(d))) % 10 == 0:
+            found.add(m[0])
+    found |= set(re.findall(r"(?<![\w.+-])[a-z]+\.?[a-z0-9]*@[a-z0-9]+\.[a-z]+\.com(?![\w-])", text))
+    return found
+
+
+def test_found_as_by_an_independent_scan(spark):
+    p, n = pii.Pseudonyms("k"), 0
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").where("text is not null").collect():
+        new = p.replace(r[0])[0]
+        want = independent(r[0])
+        n += len(want)
+        assert not [x for x in want if re.search(rf"(?<![\w.+-]){re.escape(x)}(?![\w-])", new)]
+    assert n > 5
+
+
 def test_cards_before_numbers_and_phones_without_separators():
     p, back = pii.Pseudonyms("k"), pii.Pseudonyms("k", back=True)
     for card in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "4222222222222"):
@@ -70,8 +124,8 @@ def test_cards_before_numbers_and_phones_without_separators():
 
 def test_pii_of_documents(spark, docs):
     more = docs.unionByName(spark.createDataFrame([(7000, FULL, "k", 0.0)], docs.schema)).withColumnRenamed("size", "n_pii")
-    out = pii.pseudonymise(more)
-    assert out.count() == more.count() and pii.pseudonymise(more.limit(0)).count() == 0
+    out = pii.pseudonymise(more, "k")
+    assert out.count() == more.count() and pii.pseudonymise(more.limit(0), "k").count() == 0
     got = {r["doc_id"]: r for r in out.where("doc_id < 100 or doc_id = 7000").collect()}
     assert all(got[k]["text"] == t and got[k]["n_pii"] == 0 for k, t in enumerate(TEXTS)) and got[90]["text"] is None
     assert got[7000]["n_pii"] == 11 and got[7000]["key"] == "k"
@@ -127,8 +181,9 @@ def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(default_path())
-    lib.encode_special_tokens = True
-    texts = TEXTS + [r[0] for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").limit(300).collect()]
+    end = "<|endoftext|>"
+    special = [f"hello {end} world", f"x  {end}", f"{end}{end}a", f"a\n{end}\n\nb", "<|endof", "text|> x", f"\u00a0 \u3000 {end}z  ", f"don't{end}'s", f" {end} "]
+    texts = TEXTS + special + [r[0] for r in spark.read.parquet(f"{DIR}/documents.parquet").select("text").limit(300).collect()]
     rng = random.Random(4)
     texts += ["".join(rng.choice(" \n\t  \x85ab1'é,s☃") for _ in range(40)) for _ in range(300)]
     ids, bounds = Tokens(default_path()).encode(Block.of(pa.array(texts)))
@@ -167,6 +222,27 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0 and packing.pack(docs).count() >= docs.count()
 
 
+def thue_morse(n, a, b):
+    s = a
+    while len(s) < n:
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s[:n]
+
+
+def test_equal_polynomial_hashes_stay_apart():
+    """Words that agree in any polynomial hash modulo 2**64."""
+    from tokenizers import Tokenizer
+
+    pair = [thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")]
+    lib = Tokenizer.from_file(default_path())
+    ids, bounds = Tokens(default_path()).encode(Block.of(pa.array(pair)))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [e.ids for e in lib.encode_batch(pair, add_special_tokens=False)]
+    p = pieces.pieces()
+    ids, bounds = p.encode_block(Block.of(pa.array(pair)))
+    assert [p.decode(ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)] == pair
+    assert quality_rules.statistics(Block.of(pa.array(["\n".join(pair)])))["n_dup_lines"].tolist() == [0]
+
+
 def test_cuts():
     for n in range(1, 2048):
         parts = packing.cuts(n)
