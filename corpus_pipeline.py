@@ -33,7 +33,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: the texts with pseudonyms; n_chars follows."""
-    return pii.pseudonymise(docs.select(*COLUMNS)).select("doc_id", "text", "lang", "source", F.when(F.col("n_pii") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return pii.pseudonymise(docs.select(*COLUMNS), pii.key_of(spark)).select("doc_id", "text", "lang", "source", F.when(F.col("n_pii") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
