@@ -22,28 +22,26 @@ def tiled(rows: DataFrame, key: str, item: str) -> DataFrame:
     at most about 2 * TILE rows; each row is then there t times. Items of unlike parts meet once; those of one part meet in
     each of its groups, and `twice` tells where that isn't the first. Buckets of one row are left out: they have no pair.
     """
-    size = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_t", F.ceil(F.col("_n") / TILE).cast("int")).drop("_n")
+    size = stored(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / TILE).cast("int").alias("_t")), "bucket-sizes")
+    large = size.where("_t > 1")
+    if large.limit(FEW + 1).count() <= FEW:
+        # Large buckets are tiled where their rows lie, before anything is dealt out by their keys.
+        table = F.broadcast(large)
+        hot = rows.join(table, key)
+        rest = rows.join(table.select(key), key, "left_anti").join(size.where("_t = 1"), key)
+    else:
+        # They too have to be dealt out: each over SALTS tasks.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = rows.withColumn("_s", F.pmod(F.xxhash64(item, F.lit(11)), F.lit(SALTS)).cast("int"))
+        hot = salted.join(large.withColumn("_s", salts), [key, "_s"]).drop("_s")
+        rest = salted.join(large.select(key).withColumn("_s", salts), [key, "_s"], "left_anti").drop("_s").join(size.where("_t = 1"), key)
     pair = F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda k: F.least("part", k).cast("long") * (1 << 31) + F.greatest("part", k))
-    return rows.join(size, key).withColumn("part", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_t")).cast("int")).withColumn("tile", F.explode(pair)).drop("_t")
+    hot = hot.withColumn("part", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_t")).cast("int")).withColumn("tile", F.explode(pair)).drop("_t")
+    return hot.unionByName(rest.drop("_t").withColumn("part", F.lit(0)).withColumn("tile", F.lit(0).cast("long")))
 
 
-#: Large buckets up to this number are broadcast (some bytes each), once they have been counted.
-FEW = 10_000
-
-
-def tiled_large(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """As tiled(), but rows of buckets of one row stay, and rows are only dealt out anew where large buckets are many.
-
-    For rows most of which share their bucket: the sizes are counted first, and only buckets over TILE rows are looked up.
-    """
-    size = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > TILE).withColumn("_t", F.ceil(F.col("_n") / TILE).cast("int")).drop("_n")
-    size = stored(size, "large-buckets")
-    n = size.count()
-    if not n:
-        return rows.withColumn("part", F.lit(0)).withColumn("tile", F.lit(0).cast("long"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("_t") - 1), lambda k: F.least("part", k).cast("long") * (1 << 31) + F.greatest("part", k))
-    out = rows.join(F.broadcast(size) if n <= FEW else size, key, "left").withColumn("_t", F.coalesce("_t", F.lit(1)))
-    return out.withColumn("part", F.pmod(F.xxhash64(item, F.lit(7)), F.col("_t")).cast("int")).withColumn("tile", F.explode(pair)).drop("_t")
+#: Large buckets up to this number are broadcast (some bytes each), once they have been counted; beyond it, tasks of each.
+FEW, SALTS = 10_000, 64
 
 
 def twice(part_a: np.ndarray, part_b: np.ndarray, tile: np.ndarray) -> np.ndarray:

@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def tune(spark: SparkSession) -> None:
-    """Arrow batches of few rows, so that very long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    """Arrow batches of few rows, so that very long texts don't fill a Python worker; a value that the caller has set stays.
+
+    Plans read the setting when they run, which is after this returns, so it stays for the session.
+    """
+    if spark.conf.get(BATCH) == "10000":  # the default
+        spark.conf.set(BATCH, "500")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +55,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key is hot if it has more than one in HOT of all rows: there are fewer than HOT such keys, so their table can be broadcast.
+HOT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with table (keys, n: rows of the key in `rows`, ...) by keys: hot keys where their rows lie, the others dealt out.
+
+    No task gathers a hot key's rows. Rows without an entry go, as in an inner join; keys are not null; n is dropped.
+    """
+    hot = table.where(F.col("n") * HOT > total).drop("n")
+    apart = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col("n") * HOT <= total).drop("n"), keys)
+    return apart.unionByName(rest)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -10,8 +10,9 @@ others are computed again in double precision, so nothing below the threshold is
 A pair counts in the first table where it meets; counts and a spanning forest leave a task, never all pairs of a group.
 
 Edge cases. Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
-nothing: 0 links, a component of their own. Vectors of unlike lengths don't link. Repeated rows are vectors of their own; if they
-repeat the vec_id, it is the smallest id of them all that counts. An empty table gives an empty result.
+nothing: 0 links, a component of their own. Vectors of unlike lengths don't link. Repeated rows are vectors of their own, and so
+are different vectors that share a vec_id. A null vec_id links like any other; a component of null ids alone has the id null. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.buckets import compared, tiled, twice
-from starloom.llm.common import read, stored, tune
-from starloom.llm.graph import components
+from starloom.llm.common import looked_up, read, stored, tune
+from starloom.llm.graph import component_ids, components
 
 THRESHOLD, RECALL, EPSILON, SEED = 0.93, 0.98, 5.0, 20
 #: Groups of more rows than this are compared by matrix products.
@@ -159,7 +160,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     tune(vectors.sparkSession)
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = base.where(valid()).withColumn("h", F.xxhash64("label", "embedding"))
-    classes = stored(good.groupBy("h", "label", "embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("n")), "vector-classes")
+    # Equal vectors of a label are a class, with a number of its own: vec_ids may be null or clash.
+    classes = good.groupBy("h", "label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     bits, tables = plan(largest, threshold, recall)
     keyed = stored(with_keys(classes.select("cls", "label", "embedding", "n"), bits, tables), "vector-keys")
@@ -168,9 +171,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     linked = stored(compared(met, ["cls"], ["cls", "n", "t", "part", "tile", "embedding", "keys"], near_pairs(threshold), "a long, b long, links long"), "vector-links")
     counts = linked.where("links > 0").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     member = components(linked.where("links = 0").select("a", "b"))
-    per = classes.join(counts, "cls", "left").join(member, classes.cls == member.node, "left")
-    per = per.select("h", "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cls").alias("component_id"))
-    out = good.join(per, ["h", "label", "embedding"]).select("vec_id", "n_links", "component_id")
+    joined = classes.select("cls", "first", "n").join(member, classes.cls == member.node, "left").select("cls", "first", "n", F.coalesce("root", "cls").alias("root"))
+    ids = component_ids(joined, "cls").drop("n")
+    per = classes.join(counts, "cls", "left").join(ids, "cls")
+    per = per.select("h", "label", "embedding", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    out = looked_up(good, per, ["h", "label", "embedding"], good.count()).select("vec_id", "n_links", "component_id")
     out = out.unionByName(base.where(~valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

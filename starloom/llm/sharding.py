@@ -94,9 +94,9 @@ def exchanged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
     number = F.lit(0)
     for key, i in cuts:  # at most one comparison for each of a fixed number of shards
         number = number + ((F.col("key") > key) | ((F.col("key") == key) & (F.col("id") >= i))).cast("int")
-    # Ranges of equal width in the hash, and in the id within one text's group, in order.
+    # Ranges of equal width in the hash, and parts by a hash of the id, so that a hot text's rows are numbered in several tasks.
     fine = F.floor((F.col("key") / 2.0**64 + 0.5) * FINE * 24)
-    inner = F.pmod(F.col("id"), F.lit(FINE))
+    inner = F.pmod(F.xxhash64("id"), F.lit(FINE))
     placed = rows.withColumn("shard", number).withColumn("fine", fine).withColumn("inner", inner)
     w = Window.partitionBy("shard", "fine", "inner").orderBy("key", "id")
     counts = placed.groupBy("shard", "fine", "inner").agg(F.count("*").alias("n"))

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.buckets import compared, tiled
-from starloom.llm.common import read, stored, tune
-from starloom.llm.graph import components
+from starloom.llm.common import looked_up, read, stored, tune
+from starloom.llm.graph import component_ids, components
 from starloom.llm.textblock import Block, U, blocks, mix, owner, string_parts
 
 WORDS, RADIUS, SEED, PIVOTS = 4, 4, 42, 24
@@ -163,13 +163,10 @@ def link(fps: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) -> DataFr
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, n_blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     marked = stored(fingerprints(docs, words), "fingerprints")
-    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    fps = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     member = components(link(fps.select("fp"), radius, n_blocks))
-    joined = stored(fps.join(member, fps.fp == member.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "members")
-    # A component of one fingerprint needs no second look-up.
-    low = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    to = joined.join(low, "root").select("fp", "component_id")
-    return marked.join(to, "fp").select("doc_id", "fp", "component_id")
+    joined = fps.join(member, fps.fp == member.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    return looked_up(marked, component_ids(joined, "fp"), ["fp"], marked.count()).select("doc_id", "fp", "component_id")
 
 
 def shingled(block: Block, words: int) -> Iterator[np.ndarray]:
@@ -249,7 +246,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     so that the second only compares what isn't linked yet.
     """
     marked = stored(shingle_marks(docs, words), "shingles")
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys")), "distinct-shingles")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("keys").alias("keys"), F.count("*").alias("n")), "distinct-shingles")
     rows = nodes.where("first is not null").select("node", "first", F.posexplode("keys").alias("band", "key"))
     shared = stored(rows.join(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key"), "shared-keys")
     some = docs.join(shared.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -259,9 +256,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataF
     rest = shared.where(F.col("band") >= FIRST).join(member, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     apart = rest.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     member = components(once.unionByName(confirmed(rest.join(apart, "key"), sets, least)))
-    joined = stored(nodes.join(member, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "members")
-    low = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(joined.join(low, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    joined = nodes.join(member, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
+    return looked_up(marked.select("doc_id", "node"), component_ids(joined, "node"), ["node"], marked.count()).select("doc_id", "component_id")
 
 
 def confirmed(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:

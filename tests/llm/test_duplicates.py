@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from starloom.llm import buckets, embeddings, simhash
+from starloom.llm.common import looked_up
 from starloom.llm.graph import components
 
 
@@ -60,9 +61,11 @@ def test_simhash_equals_brute_force(spark, tmp_path):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_links_in_large_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_links_in_large_buckets(spark, monkeypatch, few):
     """Many fingerprints in one bucket, over several tiles: nothing is lost, and no task emits all pairs."""
     monkeypatch.setattr(buckets, "TILE", 16)
+    monkeypatch.setattr(buckets, "FEW", few)
     rng = np.random.default_rng(3)
     base = int(rng.integers(1 << 60))
     near = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(30, 60, (150, 2))} | {int(x) for x in rng.integers(0, 1 << 62, 50)}
@@ -114,6 +117,41 @@ def test_embeddings(spark, monkeypatch, large):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_ids_that_clash_or_are_null(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (rng.standard_normal(32) for _ in range(3))
+    rows = [(1, a), (2, a + 1e-3), (1, b), (3, b + 1e-3), (None, c), (None, c + 1e-3)]
+    frame = spark.createDataFrame([(i, x.tolist(), 0) for i, x in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, embeddings.near_duplicates(frame).collect()), key=str)
+    want = [(1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 1, False), (None, 1, None, False), (None, 1, None, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs planted from 0.93 to 0.94: none is missed beyond what the plan allows, none below is linked."""
+    rng, rows, want = np.random.default_rng(9), [], 0
+    for k in range(600):
+        x = rng.standard_normal(64)
+        x /= np.linalg.norm(x)
+        y = rng.standard_normal(64)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        cos = 0.93 + 0.01 * rng.random() if k % 2 else 0.9299 - 0.01 * rng.random()
+        rows += [(2 * k, x.tolist(), 3), (2 * k + 1, (cos * x + np.sqrt(1 - cos * cos) * y).tolist(), 3)]
+        want += k % 2
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    linked = {r["vec_id"] // 2 for r in got if r["n_links"]}
+    assert not [k for k in linked if k % 2 == 0]
+    assert len(linked) >= 0.96 * want
+
+
+def test_hot_keys_are_looked_up_where_they_lie(spark):
+    rows = spark.range(5000).selectExpr("case when id % 3 = 0 then 7 else id end as k", "id as x")
+    table = rows.groupBy("k").agg({"*": "count", "x": "min"}).toDF("k", "a", "b").selectExpr("k", "greatest(a, b) as m", "a as n").drop("n").join(rows.groupBy("k").count().withColumnRenamed("count", "n"), "k")
+    got = looked_up(rows, table, ["k"], 5000)
+    assert got.count() == 5000 and got.select("x").distinct().count() == 5000
+
+
 def test_recall_at_the_threshold():
     for n in (10, 10_000, 10_000_000):
         bits, tables = embeddings.plan(n)
