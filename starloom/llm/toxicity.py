@@ -1,14 +1,17 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are lower-cased words and word beginnings of 2 to 5 bytes. On a bounded sample of labelled rows a chi-square test
-picks the terms that go with label 1 (at most TERMS). Document frequencies of those terms are counted over all documents.
-Labelled rows that hold a term are indexed: for each term and block of examples the largest weight, so that blocks whose
-bound is below the k-th best cosine are skipped without loss. The votes of the k nearest are weighted by their cosine,
-and calibrated on the examples themselves, each scored without itself.
-
-Edge cases. Null and empty texts, and texts without a term, have no neighbours and get the share of label 1 among such
-examples (smoothed). Ties in cosine go to the example that is first in the hash order of ids. Equal texts get equal
-scores; repeated rows stay. Without any label 1 all scores are the smoothed prior. Only doc_id and text are read.
+Terms are the stems of all words: their first STEM letters in lower case, a truncating stemmer that needs no language's rules.
+The vocabulary is that of all labelled examples of a bounded sample, none left out; document frequencies are counted over all
+documents, and a term's weight in a text is its count times log((documents + 1) / (frequency + 1)).
+Every example is indexed: each term has a posting list in blocks of BLOCK examples, with the largest weight in each block. A
+text's bound for a block is the sum over its terms of its weight times that; blocks are opened in order of their bounds
+until the best bound left is below the k-th best cosine, so nothing is lost. The votes of the k nearest are weighted by their
+cosine, and calibrated by isotonic regression on the examples themselves, each scored without itself.
+
+Edge cases. Null and empty texts, and texts without a term that an example has, have no neighbours and get the sample's
+smoothed share of label 1, calibrated like all votes. Ties in cosine go to the example that is first in the index. Equal
+texts get equal scores; repeated rows stay. Without any label 1, or any label, all scores are the smoothed prior. Only doc_id
+and text are read.
 """
 
 from __future__ import annotations
@@ -17,20 +20,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import labelled_sample, read, tune
-from starloom.llm.linear import platt, sigmoid
-from starloom.llm.textblock import Block, U, mix, slices, string_parts
+from starloom.llm.textblock import Block, slices, string_parts
 
-#: Bounds of the labelled sample and of the vocabulary; neighbours; examples in a block; least chi-square of a term (of a full
-#: sample, less in proportion for a smaller one) and its least share of label 1.
-SAMPLE_ROWS, SAMPLE_BYTES, TERMS, NEIGHBOURS, BLOCK, CHI2, SHARE = 4000, 32 << 20, 256, 15, 64, 40.0, 0.6
-PREFIXES = (2, 3, 4, 5)
+#: Bounds of the labelled sample; letters of a stem; neighbours; examples in a block; blocks opened at a time.
+SAMPLE_ROWS, SAMPLE_BYTES, STEM, NEIGHBOURS, BLOCK, OPENED = 4000, 32 << 20, 4, 15, 64, 8
 LEARN = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, nearest_cosine double"
 
@@ -38,133 +37,127 @@ LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def terms(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For whole words and each length of prefix: hashes, texts, starts of the terms, and bytes (0: the word)."""
-    n = len(block.data)
+def lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts.cast(pa.large_string()))
+
+
+def stems(block: Block) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of every word of a block of lower-cased texts: its text, its stem's place among the distinct ones, and those."""
+    data, n = block.data, len(block.data)
     letter = np.zeros(n + 2, bool)
-    letter[1 : n + 1] = LETTER[block.data]
+    letter[1 : n + 1] = LETTER[data]
     first = np.zeros(n + 1, bool)
     first[block.offsets] = True
     mid = letter[1 : n + 1]
     starts = np.flatnonzero(mid & (~letter[:n] | first[:n]))
     ends = np.flatnonzero(mid & (~letter[2:] | first[1:])) + 1
-    prefix = block.prefix_hashes()
-    doc = np.searchsorted(block.offsets, starts, "right") - 1
-    yield block.hashes(prefix, starts, ends), doc, starts, 0
-    for k in PREFIXES:
-        long = ends - starts >= k
-        s = starts[long]
-        yield mix(block.hashes(prefix, s, s + k) + U(k)), doc[long], s, k
+    lead = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
+    after = np.searchsorted(lead, starts) + STEM
+    ends = np.minimum(ends, np.append(lead, np.full(STEM + 1, n))[after])
+    code, distinct = block.codes(starts, ends)
+    return np.searchsorted(block.offsets, starts, "right") - 1, code, distinct
 
 
-def lowered(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(texts.cast(pa.large_string()))
+def counts(block: Block, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, terms (by place in the vocabulary) and counts, each pair once, in order."""
+    doc, code, distinct = stems(block)
+    place = pc.fill_null(pc.index_in(distinct, value_set=vocabulary), -1).to_numpy().astype(np.int64)[code] if len(code) else code
+    size = max(len(vocabulary), 1)
+    got, times = np.unique(doc[place >= 0] * size + place[place >= 0], return_counts=True)
+    return got // size, got % size, times
 
 
-def counts(block: Block, sorted_terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts, terms (by place in sorted_terms) and counts, each pair once, in order."""
-    pairs = []
-    probe = np.zeros(1 << 16, bool)
-    probe[sorted_terms & U(0xFFFF)] = True
-    for h, doc, _, _ in terms(block):
-        near = np.flatnonzero(probe[h & U(0xFFFF)])
-        at = np.searchsorted(sorted_terms, h[near])
-        hit = np.zeros(len(near), bool)
-        ok = at < len(sorted_terms)
-        hit[ok] = sorted_terms[at[ok]] == h[near][ok]
-        pairs.append(doc[near][hit] * len(sorted_terms) + at[hit])
-    got, times = np.unique(np.concatenate(pairs), return_counts=True)
-    return got // max(len(sorted_terms), 1), got % max(len(sorted_terms), 1), times
-
-
-def choose(texts: list[str], y: np.ndarray, most: int = TERMS) -> list[tuple[int, str]]:
-    """(hash, term) of the terms whose texts have label 1 most beyond chance, by chi-square, then by hash."""
-    offsets, data = string_parts(lowered(pa.array(texts, pa.large_string())))
-
-    def scan() -> Iterator[tuple]:
-        for a, b in slices(offsets):
-            for h, doc, start, k in terms(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])):
-                yield h, doc + a, start + offsets[a], k
-
-    n, n1 = len(y), float(y.sum())
-    if not n1 or n1 == n:
-        return []
-    pairs = [(h[first], doc[first].astype(np.int32)) for h, doc, _, _ in scan() for first in [~pd.DataFrame({"h": h, "d": doc}).duplicated().to_numpy()]]
-    hashes, docs = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    del pairs
-    order = np.argsort(hashes)
-    hashes, docs = hashes[order], docs[order]
-    edge = np.flatnonzero(np.diff(hashes, prepend=~hashes[:1])) if len(hashes) else np.zeros(0, np.int64)
-    if not len(edge):
-        return []
-    a = np.add.reduceat(y[docs], edge)
-    df = np.diff(edge, append=len(hashes))
-    b = df - a
-    c, d = n1 - a, n - n1 - b
-    chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * (n - n1), 1e-9)
-    good = np.flatnonzero((chi >= CHI2 * n / SAMPLE_ROWS) & (a >= SHARE * df))
-    good = good[np.lexsort((hashes[edge[good]], -chi[good]))][:most]
-    chosen = np.sort(hashes[edge[good]])
-    names: dict[int, str] = {}
-    raw = data.tobytes()
-    for h, _, start, k in scan():
-        for at in np.flatnonzero(np.isin(h, chosen)):
-            if int(h[at]) not in names:
-                s = int(start[at])
-                e = s + k if k else next((i for i in range(s, len(raw)) if not LETTER[raw[i]]), len(raw))
-                names[int(h[at])] = raw[s:e].decode(errors="replace") + ("*" if k else "")
-    return [(int(t), names[int(t)]) for t in chosen]
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of each range, one range after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
 @dataclass
 class Index:
-    """The examples' weights by block, and each term's largest weight in each block."""
+    """Posting lists by term, in blocks of examples, and each block's largest weight."""
 
-    terms: np.ndarray
-    names: list[str]
+    vocabulary: pa.Array
     idf: np.ndarray
-    weights: np.ndarray
-    bound: np.ndarray
+    term_at: np.ndarray  # first block list of each term, one more than terms
+    list_block: np.ndarray  # of each block list: block, largest weight, first posting (one more)
+    list_most: np.ndarray
+    list_at: np.ndarray
+    example: np.ndarray  # of each posting
+    weight: np.ndarray
     label: np.ndarray
     ids: np.ndarray
     prior: float
-    none: float
-    slope: float = 1.0
-    shift: float = 0.0
-
-    def nearest(self, query: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the NEIGHBOURS examples nearest to a normalised query: exact, as bounds only skip what can't get in."""
-        used = np.flatnonzero(query)
-        bound = query[used] @ self.bound[used]
+    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))  # votes and their calibrated scores, both rising
+
+    @classmethod
+    def of(cls, vocabulary: pa.Array, idf: np.ndarray, doc, term, weight, label, ids, prior: float) -> Index:
+        """From the examples' normalised weights (doc, term, weight), of which examples with one main term get neighbouring places."""
+        main = np.full(len(label), len(vocabulary), np.int64)
+        order = np.lexsort((term, -weight, doc))
+        _, first = np.unique(doc[order], return_index=True)
+        main[doc[order][first]] = term[order][first]
+        by = np.argsort(main, kind="stable")
+        place = np.empty(len(label), np.int64)
+        place[by] = np.arange(len(label))
+        doc = place[doc]
+        order = np.lexsort((doc, term))
+        doc, term, weight = doc[order], term[order], weight[order]
+        key = term * (len(label) // BLOCK + 1) + doc // BLOCK
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        most = np.maximum.reduceat(weight, at) if len(at) else np.zeros(0)
+        return cls(vocabulary, idf, np.searchsorted(term[at], np.arange(len(vocabulary) + 1)), doc[at] // BLOCK, most, np.append(at, len(doc)), doc, weight, label[by], ids[by], prior, (np.zeros(1), np.full(1, prior)))
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the NEIGHBOURS examples nearest to a normalised text: exact, as bounds only skip what can't get in."""
+        n = len(self.label)
+        size = self.term_at[term + 1] - self.term_at[term]
+        lists, w = spans(self.term_at[term], size), np.repeat(weight, size)
+        block = self.list_block[lists]
+        bound = np.bincount(block, w * self.list_most[lists], minlength=-(-n // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        place, value, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order:
-            if bound[b] <= 0 or len(place) == NEIGHBOURS and bound[b] < least - 1e-12:
+        order = order[bound[order] > 0]
+        cosine, least, at = np.zeros(n), 0.0, 0
+        best = np.zeros(0, np.int64)
+        while at < len(order):
+            some = order[at : at + OPENED]
+            some = some[bound[some] >= least - 1e-12]
+            if not len(some):
                 break
-            rows = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.label)))
-            s = self.weights[rows[0] : rows[-1] + 1, used] @ query[used]
-            rows, s = rows[(s > 0) & (rows != without)], s[(s > 0) & (rows != without)]
-            place, value = np.concatenate([place, rows]), np.concatenate([value, s])
-            best = np.lexsort((place, -value))[:NEIGHBOURS]
-            place, value = place[best], value[best]
-            least = value[-1] if len(value) else 0.0
-        return place, value
+            at += OPENED
+            opened = np.zeros(len(bound), bool)
+            opened[some] = True
+            mine = np.flatnonzero(opened[block])
+            size = self.list_at[lists[mine] + 1] - self.list_at[lists[mine]]
+            where = spans(self.list_at[lists[mine]], size)
+            cosine += np.bincount(self.example[where], np.repeat(w[mine], size) * self.weight[where], minlength=n)
+            if without >= 0:
+                cosine[without] = 0.0
+            best = np.flatnonzero(cosine > 0)
+            if len(best) > NEIGHBOURS:
+                cut = np.partition(cosine[best], len(best) - NEIGHBOURS)[len(best) - NEIGHBOURS]
+                best = best[cosine[best] >= cut]
+            best = best[np.lexsort((best, -cosine[best]))][:NEIGHBOURS]
+            least = cosine[best[-1]] if len(best) == NEIGHBOURS else 0.0
+        return best, cosine[best]
+
+    def term_of_postings(self) -> np.ndarray:
+        size = np.diff(self.list_at)
+        return np.repeat(np.repeat(np.arange(len(self.vocabulary)), np.diff(self.term_at)), size)
 
     def vote(self, place: np.ndarray, value: np.ndarray) -> float:
-        """Log-odds of the cosine-weighted share of label 1, one vote of weight 1 being the prior's."""
-        if not len(place):
-            return self.none
-        p = ((value * self.label[place]).sum() + self.prior) / (value.sum() + 1)
-        return float(np.log(p / (1 - p)))
+        """The cosine-weighted share of label 1 among the nearest, the prior having one more vote of their mean weight."""
+        own = value.mean() if len(value) else 1.0
+        return float(((value * self.label[place]).sum() + own * self.prior) / (value.sum() + own))
 
-    def vectors(self, doc, term, times, n: int) -> np.ndarray:
-        x = np.zeros((n, len(self.terms)))
-        x[doc, term] = (1 + np.log(times)) * self.idf[term]
-        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    def weights(self, term: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Normalised TF-IDF weights of one text."""
+        w = times * self.idf[term]
+        return w / max(np.sqrt((w * w).sum()), 1e-300)
 
 
-def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each term; over all documents."""
+def frequencies(docs: DataFrame, vocabulary: pa.Array) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those that hold each term; over all documents, counted where they lie."""
     tune(docs.sparkSession)
 
     def run(batches):
@@ -175,65 +168,82 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarra
             for a, b in slices(offsets):
                 _, term, _ = counts(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), vocabulary)
                 df += np.bincount(term, minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(vocabulary))], pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["term", "n"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(df[some], n), pa.int64())], ["term", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    got = {r["term"]: r["n"] for r in rows}
-    return got.get(-1, 0), np.array([got.get(k, 0) for k in range(len(vocabulary))], float)
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
 
 
 def build(docs: DataFrame, labels: DataFrame, where: str | None = LEARN, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Index:
+    """The index of at most `rows` labelled documents and `max_bytes` bytes of their text."""
     sample = labelled_sample(docs, labels, "toxic", rows, max_bytes, where)
-    y = np.array([float(v > 0) for *_, v in sample])
-    chosen = choose([t for _, t, _ in sample], y)
-    vocabulary = np.array([h for h, _ in chosen], U)
+    y, ids = np.array([float(v > 0) for *_, v in sample]), np.array([d for d, *_ in sample], np.int64)
     prior = (y.sum() + 1) / (len(y) + 2)
-    total, df = frequencies(docs, vocabulary) if len(chosen) else (0, np.zeros(0))
-    idf = np.log((total + 1) / (df + 1)) + 1
-    empty = np.zeros((0, len(chosen)))
-    index = Index(vocabulary, [t for _, t in chosen], idf, empty, empty.T, np.zeros(0), np.zeros(0, np.int64), prior, float(np.log(prior / (1 - prior))))
-    if not len(chosen):
-        return index
     offsets, data = string_parts(lowered(pa.array([t for _, t, _ in sample], pa.large_string())))
-    x = np.concatenate([index.vectors(*counts(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), vocabulary), b - a) for a, b in slices(offsets)])
-    has = x.any(axis=1)
-    p = (y[~has].sum() + prior) / ((~has).sum() + 1)
-    index.none = float(np.log(p / (1 - p)))
-    at = np.flatnonzero(has)
-    at = at[np.argsort(x[at].argmax(axis=1), kind="stable")]  # examples of one main term lie together: tight bounds
-    index.weights, index.label, index.ids = x[at], y[at], np.array([sample[k][0] for k in at], np.int64)
-    blocks = [index.weights[b : b + BLOCK].max(axis=0) for b in range(0, len(at), BLOCK)]
-    index.bound = np.array(blocks).reshape(len(blocks), len(chosen)).T
-    if len(at):
-        own = np.array([index.vote(*index.nearest(index.weights[k], without=k)) for k in range(len(at))])
-        index.slope, index.shift = platt(np.concatenate([own, np.full((~has).sum(), index.none)]), np.concatenate([index.label, y[~has]]))
+    parts = [(a, Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])) for a, b in slices(offsets)]
+    seen = [stems(block)[2] for _, block in parts]
+    vocabulary = pc.unique(pa.chunked_array(seen, pa.large_binary())).sort() if seen else pa.array([], pa.large_binary())
+    if not y.any() or y.all() or not len(vocabulary):
+        none = np.zeros(0)
+        return Index.of(vocabulary.slice(0, 0), none, none.astype(int), none.astype(int), none, none, none.astype(int), prior)
+    total, df = frequencies(docs, vocabulary)
+    idf = np.log((total + 1) / (df + 1))
+    doc, term, times = (np.concatenate(x) for x in zip(*((d + a, t, n) for a, block in parts for d, t, n in [counts(block, vocabulary)]), strict=True))
+    w = times * idf[term]
+    norm = np.sqrt(np.bincount(doc, w * w, minlength=len(y)))
+    keep = w > 0
+    index = Index.of(vocabulary, idf, doc[keep], term[keep], (w / np.maximum(norm[doc], 1e-300))[keep], y, ids, prior)
+    by = np.lexsort((index.term_of_postings(), index.example))
+    example, term, weight = index.example[by], index.term_of_postings()[by], index.weight[by]
+    edge = np.searchsorted(example, np.arange(len(y) + 1))
+    own = np.array([index.vote(*index.nearest(term[a:b], weight[a:b], without=k)) for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False))])
+    index.knots = calibrated(own, index.label)
     return index
 
 
+def calibrated(vote: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the rising function of votes nearest to the labels, by pooling adjacent violators; a pool's share of label 1 is
+    smoothed by one row of the sample's share."""
+    pools: list[list[float]] = []  # sum of labels, rows, sum of votes
+    at, where = np.unique(vote, return_inverse=True)
+    for x, s, n in zip(at.tolist(), np.bincount(where, y).tolist(), np.bincount(where).tolist(), strict=True):
+        pools.append([s, n, x * n])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    share = np.array([(s + y.mean()) / (n + 1) for s, n, _ in pools])
+    return np.array([x / n for _, n, x in pools]), np.maximum.accumulate(share)
+
+
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """Score, prediction and nearest examples of every document."""
     spark = docs.sparkSession
     tune(spark)
-    shared = spark.sparkContext.broadcast(index)  # at most SAMPLE_ROWS x TERMS weights
+    shared = spark.sparkContext.broadcast(index)  # bounded by the sample: its postings are at most as many as its words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, known = shared.value, {}
+        ix = shared.value
+        lone = ix.vote(np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
             n = batch.num_rows
-            margin, near, top = np.full(n, ix.none), [[] for _ in range(n)], np.zeros(n)
+            votes, near, top = np.full(n, lone), [[] for _ in range(n)], np.zeros(n)
             offsets, data = string_parts(lowered(batch.column(2)))
-            for a, b in slices(offsets) if len(ix.terms) else []:
-                doc, term, times = counts(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), ix.terms)
-                cut = np.flatnonzero(np.diff(doc, prepend=-1))
-                for s, e in zip(cut, np.append(cut[1:], len(doc)), strict=False):  # none in a block without a term
-                    key = (term[s:e].tobytes(), times[s:e].tobytes())
+            known = {}  # copies lie together often
+            for a, b in slices(offsets) if len(ix.vocabulary) else []:
+                doc, term, times = counts(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), ix.vocabulary)
+                edge = np.searchsorted(doc, np.arange(b - a + 1))
+                for k in np.flatnonzero(np.diff(edge)).tolist():
+                    t, c = term[edge[k] : edge[k + 1]], times[edge[k] : edge[k + 1]]
+                    key = (t.tobytes(), c.tobytes())
                     if key not in known:
-                        if len(known) > 50_000:
-                            known.clear()
-                        place, value = ix.nearest(ix.vectors(np.zeros(e - s, np.int64), term[s:e], times[s:e], 1)[0])
+                        place, value = ix.nearest(t, ix.weights(t, c))
                         known[key] = ix.vote(place, value), ix.ids[place].tolist(), float(value[0]) if len(value) else 0.0
-                    margin[a + doc[s]], near[a + doc[s]], top[a + doc[s]] = known[key]
-            p = sigmoid(ix.slope * margin + ix.shift)
+                    votes[a + k], near[a + k], top[a + k] = known[key]
+            p = np.interp(votes, *ix.knots)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(top)], ["doc_id", "held_out", "score", "predicted", "nearest", "nearest_cosine"])
 
     held = F.coalesce(~F.expr(LEARN), F.lit(False)).alias("held_out")
