@@ -59,14 +59,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
 HOT = 1000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """rows joined with table (keys, n: rows of the key in `rows`, ...) by keys: hot keys where their rows lie, the others dealt out.
 
-    No task gathers a hot key's rows. Rows without an entry go, as in an inner join; keys are not null; n is dropped.
+    No task gathers a hot key's rows. how is inner or left; keys are not null; n is dropped.
     """
     hot = table.where(F.col("n") * HOT > total).drop("n")
     apart = rows.join(F.broadcast(hot), keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col("n") * HOT <= total).drop("n"), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col("n") * HOT <= total).drop("n"), keys, how)
     return apart.unionByName(rest)
 
 
@@ -91,7 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, m
     rank = {d: k for k, (d, _) in enumerate(wanted)}
     pick = F.broadcast(spark.createDataFrame(wanted, "doc_id long, y int"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = base.join(pick, "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    sizes = base.join(pick, "doc_id").groupBy("doc_id").agg(F.sum(F.octet_length("text") + 64).alias("b")).collect()
     keep, total = [], 0
     for d, b in sorted(sizes, key=lambda r: rank[r[0]]):
         if total + b <= max_bytes:

@@ -182,3 +182,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = """
+with recursive v as (select row_number() over () as k, vec_id, label, embedding::double[] as e from embeddings),
+g as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (
+  select a.k as x, b.k as y from g a join g b on a.label = b.label and a.k <> b.k
+  where case when len(a.e) = len(b.e) then list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93 else false end
+),
+reach as (select k as x, k as y from v union select r.x, l.y from reach r join links l on r.y = l.x),
+low as (select r.x as k, min(o.vec_id) as component_id from reach r join v o on o.k = r.y group by r.x),
+n as (select x as k, count(*) as n_links from links group by x)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, coalesce(vec_id = component_id, false) as kept
+from v join low using (k) left join n using (k)
+"""

@@ -1,12 +1,16 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other, then score all documents together.
 
 The text view is a logistic regression over hashed word and character n-grams; the metadata view one over lang, source,
-n_chars and the layout of lines. Both start from the same bounded sample of labelled rows. In each round both score every
-document, and each hands the other its most confident pseudo-labels (a top-k of the corpus, ties by a hash of the id).
+n_chars and the layout of lines (their number and lengths, which are taken from the text: the views aren't independent in the
+strict sense). Both start from the same bounded sample of labelled rows. In each round both score every document, and each hands
+the other pseudo-labels: of all distinct texts that it is confident about, PSEUDO at most in order of a hash of the text, so that
+neither copies nor one cell of metadata fill them, and in the classes' shares of the labelled rows, so that they don't shift the
+prior. Their n-grams are counted where they lie, whatever the length of the text.
 At last the two calibrated views are added as log-odds and calibrated again on labelled rows held back from all training.
 
 Edge cases. Null texts and metadata count as empty strings, a null n_chars as its own value; an empty text is scored like
-any other. Repeated rows get equal scores; an empty table gives an empty result. Without labels all scores are 0.5, with
+any other. Repeated rows get equal scores, and ties of pseudo-labels go by the hash; of rows that share a doc_id one is learnt from.
+Very long texts are scored and learnt from whole. An empty table gives an empty result. Without labels all scores are 0.5, with
 one class that class's constant. Further columns are not read.
 """
 
@@ -25,10 +29,10 @@ from starloom.llm.common import labelled_sample, read, stored, tune
 from starloom.llm.linear import KINDS, Linear, Part, fit_sparse, platt, sigmoid, sparse, split
 from starloom.llm.textblock import Block, blocks
 
-#: Bounds of the labelled sample; rounds; pseudo-labels that a view hands over in a round, by class; the least confidence.
-SAMPLE_ROWS, SAMPLE_BYTES, ROUNDS, PSEUDO, CONFIDENT, PSEUDO_WEIGHT = 2000, 16 << 20, 2, {1: 150, 0: 50}, 0.95, 0.5
-#: Texts longer than this aren't taken as pseudo-labels (they are scored like all others).
-PSEUDO_BYTES = 64 << 10
+#: Bounds of the labelled sample; rounds; pseudo-labels that a view hands over in a round, at most; their weight.
+SAMPLE_ROWS, SAMPLE_BYTES, ROUNDS, PSEUDO, PSEUDO_WEIGHT = 2000, 16 << 20, 2, 200, 0.5
+#: The least confidence in a class. Label 0 is the rarer one by far: at 0.75 its odds have gained more than those of label 1 at 0.95.
+CONFIDENT = {1: 0.95, 0: 0.75}
 MIN_PROBABILITY = 0.5
 META_BITS, BITS = 12, 16
 SCHEMA = "doc_id long, p_text double, p_meta double, score double, kept boolean"
@@ -68,6 +72,7 @@ class Views:
     prior: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
+    handed: tuple = ()  # (round, view that was sure, label, number of pseudo-labels)
 
     def probabilities(self, block: Block, lang, source, n_chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = self.text.probabilities(block)
@@ -84,8 +89,8 @@ def columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
-def score(docs: DataFrame, views: Views, threshold: float = MIN_PROBABILITY) -> DataFrame:
-    """Both views' probabilities, the combined score and the verdict of every document."""
+def score(docs: DataFrame, views: Views, threshold: float = MIN_PROBABILITY, hashed: bool = False) -> DataFrame:
+    """Both views' probabilities, the combined score and the verdict of every document; a hash of its text, if asked for."""
     spark = docs.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(views)  # fixed size
@@ -96,9 +101,12 @@ def score(docs: DataFrame, views: Views, threshold: float = MIN_PROBABILITY) ->
             lang, source, n_chars = (batch.column(k).to_pylist() for k in (2, 3, 4))
             for a, b, block in blocks(batch):
                 p, q, s = v.probabilities(block, lang[a:b], source[a:b], n_chars[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p), pa.array(q), pa.array(s), pa.array(s >= threshold)], [c.split()[0] for c in SCHEMA.split(", ")])
+                cols = [batch.column(0).slice(a, b - a), pa.array(p), pa.array(q), pa.array(s), pa.array(s >= threshold), batch.column(5).slice(a, b - a)]
+                yield pa.RecordBatch.from_arrays(cols[: len(names)], names)
 
-    return columns(docs).mapInArrow(run, SCHEMA)
+    schema = SCHEMA + (", text_hash long" if hashed else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return columns(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, schema)
 
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = MIN_PROBABILITY) -> DataFrame:
@@ -136,6 +144,17 @@ class Rows:
         self.y += labels
         self.weight += [weight] * len(rows)
 
+    def add_counted(self, rows: list, label: int, weight: float) -> None:
+        """Rows of features()."""
+        for r in rows:
+            if self.text:
+                used = np.frombuffer(r["used"], "<i4")
+                self.parts.append(Part.of(np.full(len(used), len(self.y)), used, np.frombuffer(r["vals"], "<f4")))
+            else:
+                self.metas.append(np.array([r["meta"]], np.int64))
+            self.y.append(label)
+            self.weight.append(weight)
+
     def fit(self, n: int) -> Linear:
         y, w = np.array(self.y, float), np.array(self.weight)
         held = split(y, n)
@@ -154,20 +173,28 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, rows: int =
     for part in (text_rows, meta_rows):
         part.add(first, [ids[r["doc_id"]] for r in first], 1.0)
     n = len(first)
-    taken = set(ids)
+    taken, handed = set(ids), []
     for turn in range(rounds + 1):
-        views = Views(text_rows.fit(n), meta_rows.fit(n))
+        views = Views(text_rows.fit(n), meta_rows.fit(n), handed=tuple(handed))
         if turn == rounds or len(set(ids.values())) < 2:
             break
-        scored = stored(score(docs, views).select("doc_id", "p_text", "p_meta"), "cotrain")
+        scored = stored(score(docs, views, hashed=True).select("doc_id", "p_text", "p_meta", "text_hash"), "cotrain")
         for p, to in (("p_text", meta_rows), ("p_meta", text_rows)):
-            for y, most in PSEUDO.items():
+            share = {1: sum(ids.values()) / len(ids)}
+            share[0] = 1 - share[1]
+            picked = {}
+            for y in (1, 0):
                 sure = F.col(p) if y else 1 - F.col(p)
-                top = scored.where(sure >= CONFIDENT).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(most + len(taken))
-                picked = [d for d in dict.fromkeys(r[0] for r in top.select("doc_id").collect()) if d not in taken and d is not None][:most]
-                taken.update(picked)
-                more = fetch(docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= PSEUDO_BYTES), picked)
-                to.add(more, [y] * len(more), PSEUDO_WEIGHT)
+                texts = scored.where((sure >= CONFIDENT[y]) & F.col("doc_id").isNotNull()).groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+                top = texts.orderBy(F.xxhash64("text_hash", F.lit(turn)), "text_hash").limit(PSEUDO + len(taken))
+                picked[y] = [d for d in dict.fromkeys(r[0] for r in top.select("doc_id").collect()) if d not in taken]
+            both = min(PSEUDO, *(len(picked[y]) / share[y] for y in (1, 0)))
+            for y in (1, 0):
+                chosen = picked[y][: round(both * share[y])]
+                taken.update(chosen)
+                more = features(docs, chosen, to.text)
+                to.add_counted(more, y, PSEUDO_WEIGHT)
+                handed.append((turn, p, y, len(more)))
     y = np.array(text_rows.y[:n], float)
     held = split(y, n)
     if n and 0 < y.mean() < 1:
@@ -187,8 +214,35 @@ def fetch(docs: DataFrame, ids: list[int]) -> list:
         return []
     spark = docs.sparkSession
     pick = F.broadcast(spark.createDataFrame([(d,) for d in ids], "doc_id long"))
-    rows = columns(docs).withColumn("text", F.coalesce("text", F.lit(""))).join(pick, "doc_id").collect()
-    return list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]), reverse=True)}.values())[::-1]
+    one = F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars")).alias("r")
+    return columns(docs).join(pick, "doc_id").groupBy("doc_id").agg(one).select("doc_id", "r.*").orderBy("doc_id").collect()
+
+
+def features(docs: DataFrame, ids: list[int], text: bool) -> list:
+    """(doc_id, used, vals) or (doc_id, meta) for a bounded list of ids, one row for each, in order of the id: a view's features.
+
+    They are counted where the texts lie. A row has KINDS << BITS features at most, however long the text is.
+    """
+    if not ids:
+        return []
+    spark = docs.sparkSession
+    tune(spark)
+    pick = F.broadcast(spark.createDataFrame([(d,) for d in ids], "doc_id long"))
+    schema = "doc_id long, used binary, vals binary" if text else "doc_id long, meta array<long>"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if text:
+                parts = [sparse([t or ""], BITS) for t in batch.column(1).to_pylist()]
+                cols = [[b"".join(p.used.astype("<i4").tobytes() for p in x) for x in parts], [b"".join(p.vals.astype("<f4").tobytes() for p in x) for x in parts]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in cols)], names)
+            else:
+                ids = meta_ids(Block.of(batch.column(1)), *(batch.column(k).to_pylist() for k in (2, 3, 4)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids.tolist(), pa.list_(pa.int64()))], names)
+
+    rows = columns(docs).join(pick, "doc_id").select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, schema)
+    return rows.groupBy("doc_id").agg(F.min(F.struct(*names[1:])).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import new_path, read, stored, tune
+from starloom.llm.common import looked_up, new_path, read, stored, tune
 
 MIN_REVISIT, FILE_BYTES, GAP, RANGE = 0, 64 << 20, 16 << 10, 4 << 20
+#: Repeated digests up to this number are broadcast (some 100 bytes each), once they have been counted; bytes that a task reads.
+FEW, READ = 100_000, 32 << 20
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 
@@ -75,15 +77,19 @@ def parse(raw: bytes) -> tuple:
     return page(field["WARC-Record-ID"]), len(payload), found, kind, None, found == said and size == len(payload)
 
 
-def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, few: int = FEW) -> DataFrame:
     """Archives of pages (page_id, url, html) in `folder`; the index, stored there as well."""
     spark = pages.sparkSession
     tune(spark)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("sha1", F.sha1("html"))
-    # Payloads that more than one row has: few columns, aggregated before they are dealt out.
-    again = base.where(F.octet_length("html") >= min_revisit).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    role = base.join(again, "sha1", "left")
+    # Payloads that more than one row has: digests and ids alone, aggregated before they are dealt out.
+    again = base.where(F.octet_length("html") >= min_revisit).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = stored(again, "warc-repeats")
+    if again.limit(few + 1).count() <= few:
+        role = base.join(F.broadcast(again.drop("n")), "sha1", "left")  # the payloads stay where they lie
+    else:
+        role = looked_up(base, again, ["sha1"], base.count(), "left")  # those of hot digests do
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +159,26 @@ def read_records(index: DataFrame, folder: str, gap: int = GAP, most: int = RANG
         if file is not None:
             file.close()
 
-    return ranges(index, gap, most).sortWithinPartitions("file", "start").mapInArrow(run, RECORD)
+    # As many tasks as there are READ bytes to read: the ranges themselves are few bytes, which say nothing of the work.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ))
+    return ranges(index, gap, most).repartition(tasks, "file", "start").sortWithinPartitions("file", "start").mapInArrow(run, RECORD)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     index = write_archives(read(spark, sf_dir, "pages"), folder)
     return read_records(index, folder)
+
+
+#: Digests are RFC 4648 base32 of SHA-1: five bits a letter, eight letters from ten hexadecimal digits.
+ORACLE_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+q as (select *, min(page_id) over (partition by h) as first, count(*) over (partition by h) as n from p)
+select page_id, payload_bytes::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (i // 8)::int * 10 + 1, 10))::bigint >> (35 - 5 * (i % 8))::int) & 31) + 1)::bigint, 1)), '') as payload_digest,
+  case when n = 1 or page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+  case when n = 1 or page_id is not distinct from first then null else first end as refers_to,
+  true as intact
+from q
+"""

@@ -77,6 +77,32 @@ def test_empty_tables(spark, edge, labels):
         assert toxicity.score(docs, toxicity.build(docs, lab)).count() == docs.count()
 
 
+def test_views_exchange_labels_and_gain(spark):
+    """Pseudo-labels go both ways, and what is learnt from them does no worse on rows that no label was taken from."""
+    docs, lab = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").where("doc_id < 6000") for t in ("documents", "labels"))
+    few = lab.where("quality is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 0")
+    rest = {r["doc_id"]: r["quality"] for r in lab.where("quality is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 0").collect()}
+    right = {}
+    for rounds in (0, 2):
+        views = quality_classifier.train(docs, few, rounds=rounds)
+        got = [r for r in quality_classifier.score(docs, views).collect() if r["doc_id"] in rest]
+        right[rounds] = np.mean([r["kept"] == (rest[r["doc_id"]] == 1) for r in got])
+        share = np.mean([rest[r["doc_id"]] for r in got])
+    print("co-training: right", right, "always keep", share, "handed", views.handed)
+    assert sum(n for _, p, _, n in views.handed if p == "p_text") > 100 and sum(n for _, p, _, n in views.handed if p == "p_meta") > 0
+    assert right[2] >= right[0] - 0.005 and right[2] > share + 0.03
+
+
+def test_features_where_they_lie_equal_those_of_the_rows(spark):
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate([*EDGE, "long " * 50_000])] + [(2, "other", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for r in quality_classifier.features(docs, [0, 4, 6, 14], True):
+        parts = quality_classifier.sparse([rows[r["doc_id"]][1]], quality_classifier.BITS)
+        assert np.array_equal(np.frombuffer(r["used"], "<i4"), np.concatenate([p.used for p in parts]))
+        assert np.allclose(np.frombuffer(r["vals"], "<f4"), np.concatenate([p.vals for p in parts]))
+    assert [r["doc_id"] for r in quality_classifier.features(docs, [2, 3], False)] == [2, 3]
+
+
 def test_held_out_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rows = docs.join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("doc_id % 4 = 1").collect()
