@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from starloom.llm import buckets, simhash
@@ -81,6 +82,35 @@ def test_keys_of_sets_at_the_similarity():
     assert missed <= 4  # of 10,000; 0.15 expected
 
 
+def test_fingerprints_of_similar_sets_are_near():
+    rng, most, apart = np.random.default_rng(5), 0, []
+    for k in range(4000):
+        n = int(rng.integers(1, 30))
+        h = np.unique(rng.integers(0, 1 << 64, 10 * n, np.uint64))
+        a, b = (h[: 9 * n], h[n:]) if k % 2 else (h[: 4 * n], h[: 5 * n])  # 8 of 10 in common; 4 of 5
+        x, y = (np.frombuffer(simhash.set_fingerprint(z), "<u8") for z in (a, b))
+        most = max(most, int(np.bitwise_count(x ^ y).sum()))
+        z = np.frombuffer(simhash.set_fingerprint(rng.integers(0, 1 << 64, 10 * n, np.uint64)), "<u8")
+        apart.append(int(np.bitwise_count(x ^ z).sum()))
+    assert most <= simhash.FAR - 8 and np.mean(np.array(apart) > simhash.FAR) > 0.99
+
+
+def test_pivots_discard_pairs_of_unlike_sets():
+    """Within one bucket of two clusters the links are those of the clusters, found by brute force."""
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 1 << 64, 60, np.uint64)) for _ in range(2)]
+    sets = [np.unique(np.append(b[k % 8 :], rng.integers(0, 1 << 64, 2, np.uint64))) for b in base for k in range(40)]
+    cols = {"node": np.arange(80), "root": np.arange(80), "fp": pa.array([simhash.set_fingerprint(h) for h in sets], pa.binary()), "shingles": pa.array([h.tobytes() for h in sets], pa.binary())}
+    a, b = simhash.set_pairs(0.8)(np.ones(80, int), cols)
+    same = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    assert all(same(sets[i], sets[j]) >= 0.8 for i, j in zip(a.tolist(), b.tolist()))
+    label = list(range(80))
+    for i, j in zip(a.tolist(), b.tolist()):
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        label = [new if x == old else x for x in label]
+    assert label == [0] * 40 + [40] * 40
+
+
 def test_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
