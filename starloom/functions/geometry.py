@@ -43,15 +43,3 @@ def working_radii(ny: int, nx: int, diameter: float, exclude_nearest: int, low:
     least = (2 * exclude_nearest + 3) * diameter / (2 * math.pi) + diameter / 2
     most = max_radius(ny, nx) - diameter / 2
     return max(least, low + diameter / 2 if low is not None else least), min(most, high - diameter / 2 if high is not None else most)
-
-
-def cubic_weights(t: Column) -> list[Column]:
-    """Weights of the four neighbours -1, 0, 1, 2 in Catmull-Rom interpolation at t past neighbour 0."""
-    t2, t3 = t * t, t * t * t
-    return [0.5 * (-t + 2 * t2 - t3), 0.5 * (2 - 5 * t2 + 3 * t3), 0.5 * (t + 4 * t2 - 3 * t3), 0.5 * (t3 - t2)]
-
-
-def rotation_about_centre(deg: float, ny: int, nx: int) -> list[list[float]]:
-    """Affine matrix from destination to source x, y of an anticlockwise rotation."""
-    c, s, yc, xc = math.cos(math.radians(deg)), math.sin(math.radians(deg)), centre(ny), centre(nx)
-    return [[c, s, xc - c * xc - s * yc], [-s, c, yc + s * xc - c * yc]]

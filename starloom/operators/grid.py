@@ -76,8 +76,8 @@ def ring_sigmas(df: DataFrame, r: str, value: str, width: float) -> DataFrame:
     return sigma_mad(near, ["r0"], "_v")
 
 
-def spaced(radii: DataFrame, r: str, least: float) -> DataFrame:
-    """Radii in ascending order, leaving out those less than `least` past the last that was kept. Distinct radii are few (one
-    per ring of an image)."""
-    fold = f"""aggregate(_s, cast(array() as array<double>), (a, v) -> if(size(a) = 0 or v - element_at(a, -1) >= {least!r}, concat(a, array(v)), a))"""
-    return radii.agg(F.array_sort(F.collect_set(F.col(r).cast("double"))).alias("_s")).select(F.explode(F.expr(fold)).alias(r))
+def spaced(limits: DataFrame, r: str, least: float) -> DataFrame:
+    """The radii that have limits, in ascending order, leaving out those less than `least` past the last that was kept, 0 being
+    taken as kept at first. Distinct radii are few (one per ring of an image)."""
+    fold = f"""aggregate(_s, cast(array() as array<double>), (a, v) -> if(v - coalesce(try_element_at(a, -1), 0d) >= {least!r}, concat(a, array(v)), a))"""
+    return limits.agg(F.array_sort(F.collect_set(F.col(r).cast("double"))).alias("_s")).select(F.explode(F.expr(fold)).alias(r))

@@ -38,6 +38,7 @@ def affine(img: np.ndarray, m, shape=None, fill: float = 0.0, missing: float = n
     ny, nx = shape or img.shape
     dy, dx = np.mgrid[:ny, :nx]
     x, y = m[0][0] * dx + m[0][1] * dy + m[0][2], m[1][0] * dx + m[1][1] * dy + m[1][2]
+    x, y = np.round(x, 9), np.round(y, 9)  # a whole number but for rounding is one, as at turns by 90 degrees
     xi, yi = np.floor(x).astype(int), np.floor(y).astype(int)
     wx, wy = weights(x - xi), weights(y - yi)
     total, good = np.zeros((ny, nx)), np.zeros((ny, nx), int)

@@ -39,16 +39,17 @@ def gram_rows(se: DataFrame, left: str = "ts", right: str | None = None) -> Data
                 one = stack(df["l"]).T @ stack(df["r"])
                 total = one if total is None else total + one
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "g": list(total)})
+            yield pd.DataFrame({"i": np.arange(len(total)), "g": [row.tobytes() for row in total]})
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for df in batches:
             for i, g in zip(df["i"], df["g"], strict=True):
-                sums[i] = sums[i] + g if i in sums else np.array(g)
+                one = np.frombuffer(g)
+                sums[i] = sums[i] + one if i in sums else one
         yield pd.DataFrame({"i": list(sums), "g": list(sums.values())})
 
-    rows = se.select(F.col(left).alias("l"), F.col(right or left).alias("r")).mapInPandas(part, "i int, g array<double>")
+    rows = se.select(F.col(left).alias("l"), F.col(right or left).alias("r")).mapInPandas(part, "i int, g binary")
     return rows.repartition("i").mapInPandas(added, "i int, g array<double>")
 
 
@@ -85,8 +86,10 @@ def mapped(se: DataFrame, work, column: str = "ts") -> DataFrame:
 
 def centred(se: DataFrame) -> DataFrame:
     """Each pixel's series less its mean over all frames; missing values stay."""
-    mean = F.aggregate(F.filter("ts", lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(F.filter("ts", lambda v: v.isNotNull())), F.lit(0))
-    return se.withColumn("_m", mean).withColumn("ts", F.transform("ts", lambda v: v - F.col("_m"))).drop("_m")
+    there = F.filter("ts", lambda v: v.isNotNull())
+    mean = F.aggregate(there, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(there), F.lit(0))
+    # The mean is bound as an element, once a series: a column of it would be put in, and summed again, for every value.
+    return se.withColumn("ts", F.element_at(F.transform(F.array(mean), lambda m: F.transform("ts", lambda v: v - m)), 1))
 
 
 def top(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +119,31 @@ def klip_weights(g: np.ndarray, k: int, out: list[np.ndarray] | None = None) ->
     return w
 
 
+def exclusion_weights(spark, g: np.ndarray, k: int, out: list[np.ndarray]) -> np.ndarray:
+    """klip_weights() with exclusions: a decomposition for each frame, dealt out over the cluster; g is broadcast (of a checked size)."""
+    shared = spark.sparkContext.broadcast((g, np.array(out)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, masks = shared.value
+        for df in batches:
+            rows = []
+            for i in df["id"]:
+                keep = np.flatnonzero(~masks[i])
+                val, vec = top(m[np.ix_(keep, keep)], k)
+                w = np.zeros(len(m))
+                w[keep] = vec @ ((vec.T @ m[keep, i]) / val)
+                rows.append(w.tobytes())
+            yield pd.DataFrame({"i": df["id"], "w": rows})
+
+    frames = spark.range(len(g), numPartitions=max(1, min(len(g), 4 * spark.sparkContext.defaultParallelism)))
+    got = frames.mapInPandas(run, "i long, w binary").toArrow()
+    w = np.zeros_like(g)
+    for i, row in zip(got["i"].to_pylist(), got["w"].to_pylist(), strict=True):
+        w[:, i] = np.frombuffer(row)
+    shared.destroy()
+    return w
+
+
 def downdate_weights(g: np.ndarray, k: int, out: list[np.ndarray], rank: int) -> np.ndarray:
     """The same from one truncated basis of all frames, with excluded frames' rows taken out of it: exact for full rank."""
     val, v = top(g, rank)
@@ -132,7 +160,10 @@ def klip(se: DataFrame, k: int, exclusions: list[np.ndarray] | None = None, rank
     """Residuals of frame-wise projection; se is centred first. With `rank`, by downdating."""
     x = centred(se)
     g = gram(x)
-    w = downdate_weights(g, k, exclusions, rank) if rank is not None and exclusions else klip_weights(g, k, exclusions)
+    if not exclusions:
+        w = klip_weights(g, k)
+    else:
+        w = downdate_weights(g, k, exclusions, rank) if rank is not None else exclusion_weights(se.sparkSession, g, k, exclusions)
     return mapped(x, lambda m: m - m @ w)
 
 

@@ -43,7 +43,7 @@ def klip_covariance(spark, d):
 @query()
 def klip_exclusions(spark, d):
     """With the neighbouring two frames on either side left out of each frame's reference."""
-    se = combined(spark, d)
+    se = cube(spark, d)
     n = len(se.first()["ts"])
     return energy(linalg.centred(se), linalg.klip(se, 5, linalg.excluded(np.arange(n), 2)))
 

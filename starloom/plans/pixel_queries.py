@@ -274,7 +274,7 @@ def resample_sql(src: str, sx: str, sy: str, fill: float = 0.0) -> str:
     """CTEs: `to` has the bicubic values of source px at (sx, sy) of each destination pixel of the frames of src."""
     w = lambda t, i: [f"0.5 * (-{t} + 2 * {t}*{t} - {t}*{t}*{t})", f"0.5 * (2 - 5 * {t}*{t} + 3 * {t}*{t}*{t})", f"0.5 * ({t} + 4 * {t}*{t} - 3 * {t}*{t}*{t})", f"0.5 * ({t}*{t}*{t} - {t}*{t})"][i]
     case = lambda k, t: "CASE " + k + " " + " ".join(f"WHEN {i} THEN {w(t, i)}" for i in range(4)) + " END"
-    return f"""sxy AS (SELECT frame_idx, ext, y, x, {sx} AS sx, {sy} AS sy FROM {src}),
+    return f"""sxy AS (SELECT frame_idx, ext, y, x, round({sx}, 9) AS sx, round({sy}, 9) AS sy FROM {src}),
     sf AS (SELECT *, floor(sx) AS xi, floor(sy) AS yi, sx - floor(sx) AS tx, sy - floor(sy) AS ty FROM sxy),
     sn AS (SELECT f.frame_idx, f.ext, f.y, f.x, {case('i', 'ty')} AS wy, {case('j', 'tx')} AS wx, p.v AS v FROM sf f, range(4) a(i), range(4) b(j) LEFT JOIN {src} p ON p.frame_idx = f.frame_idx AND p.ext = f.ext AND p.y = f.yi + i - 1 AND p.x = f.xi + j - 1),
     "to" AS (SELECT frame_idx, ext, y, x, CASE WHEN count(v) > 8 THEN sum(wy * wx * coalesce(v, {fill})) END AS v FROM sn GROUP BY 1, 2, 3, 4)"""
@@ -288,18 +288,14 @@ def angle():
     return F.pmod(F.col("frame_idx") * 7.0, F.lit(360.0))
 
 
-# Floor of a source coordinate that is a whole number but for rounding can go either way: angles that are multiples of 90 are left to pytest.
-ODD = "(frame_idx * 7) % 90 <> 0"
-
-
-@query(f"WITH {PX}, {TURN} SELECT frame_idx, ext, y, x, round(v, 4) AS v FROM \"to\" WHERE {ODD} AND v IS NOT NULL")
+@query(f"WITH {PX}, {TURN} SELECT frame_idx, ext, y, x, round(v, 4) AS v FROM \"to\" WHERE v IS NOT NULL")
 def derotate_cube(spark, d):
-    return pixels(resample.derotated(fr(spark, d), angle())).where(f"{ODD} and v is not null").withColumn("v", F.round("v", 4))
+    return pixels(resample.derotated(fr(spark, d), angle())).where("v is not null").withColumn("v", F.round("v", 4))
 
 
-@query(f"WITH {PX}, {TURN} SELECT ext, y, x, round(avg(v), 4) AS v, count(v) AS n FROM \"to\" WHERE {ODD} GROUP BY ext, y, x HAVING count(v) > 2")
+@query(f"WITH {PX}, {TURN} SELECT ext, y, x, round(avg(v), 4) AS v, count(v) AS n FROM \"to\" GROUP BY ext, y, x HAVING count(v) > 2")
 def adi_stack(spark, d):
-    turned = pixels(resample.derotated(fr(spark, d), angle())).where(ODD)
+    turned = pixels(resample.derotated(fr(spark, d), angle()))
     return turned.groupBy("ext", "y", "x").agg(F.round(F.avg("v"), 4).alias("v"), F.count("v").alias("n")).where("n > 2")
 
 
@@ -322,13 +318,6 @@ def interpolate_nonfinite(spark, d):
     return rounded(resample.filled(holes), "v").select("frame_idx", "ext", "y", "x", "v")
 
 
-@query(f"WITH {PX} SELECT coalesce(l.frame_idx, r.frame_idx) AS frame_idx, coalesce(l.y, r.y) AS y, coalesce(l.x, r.x) AS x, coalesce(r.v, l.v) AS v FROM (SELECT * FROM px WHERE y >= x) l FULL JOIN (SELECT frame_idx, y, x, -v AS v FROM px WHERE y <= x) r ON l.frame_idx = r.frame_idx AND l.y = r.y AND l.x = r.x")
-def paired_stitch(spark, d):
-    p = px(spark, d)
-    left, right = p.where("y >= x").select("frame_idx", "y", "x", F.col("v").alias("a")), p.where("y <= x").select("frame_idx", "y", "x", (-F.col("v")).alias("b"))
-    return left.join(right, ["frame_idx", "y", "x"], "full").select("frame_idx", "y", "x", F.coalesce("b", "a").alias("v"))
-
-
 @query(f"WITH {PX}, m AS (SELECT y, x FROM px GROUP BY y, x HAVING avg(v) > 0.01) SELECT DISTINCT p.y, p.x FROM px p JOIN m ON abs(p.y - m.y) + abs(p.x - m.x) <= 1")
 def binary_dilation(spark, d):
     m = px(spark, d).groupBy("y", "x").agg(F.avg("v").alias("v")).where("v > 0.01").select("y", "x")

@@ -178,9 +178,9 @@ def ring_noise_scale(spark, d):
     return rounded(grid.ring_sigmas(items(spark, d), "r_px", "snr", 2.5), "sigma")
 
 
-@query("WITH RECURSIVE r AS (SELECT DISTINCT l_quantity AS v FROM lineitem), s AS (SELECT min(v) AS v FROM r UNION ALL SELECT (SELECT min(r.v) FROM r WHERE r.v >= s.v + 4) FROM s WHERE (SELECT min(r.v) FROM r WHERE r.v >= s.v + 4) IS NOT NULL) SELECT v AS r_px FROM s")
+@query("WITH RECURSIVE r AS (SELECT DISTINCT l_quantity AS v FROM lineitem WHERE l_extendedprice > 60000), s AS (SELECT 0.0::DOUBLE AS v UNION ALL SELECT (SELECT min(r.v) FROM r WHERE r.v - s.v >= 4) FROM s WHERE EXISTS (SELECT 1 FROM r WHERE r.v - s.v >= 4)) SELECT v AS r_px FROM s WHERE v > 0")
 def radial_spacing(spark, d):
-    return grid.spaced(items(spark, d), "r_px", 4.0)
+    return grid.spaced(items(spark, d).where("snr > 6"), "r_px", 4.0)
 
 
 @query(f"SELECT user_id, event_id, i, {r6('value + coalesce(lead(value) OVER w - value, value - lag(value) OVER w, 0) * i / 4')} AS value FROM events, range(4) t(i) WINDOW w AS (PARTITION BY user_id, i ORDER BY event_id)".replace(", i, ", ", i::INTEGER AS i, ", 1))
