@@ -288,15 +288,15 @@ def angle():
     return F.pmod(F.col("frame_idx") * 7.0, F.lit(360.0))
 
 
-@query(f"WITH {PX}, {TURN} SELECT frame_idx, ext, y, x, round(v, 4) AS v FROM \"to\" WHERE v IS NOT NULL")
+@query(f"WITH {PX}, {TURN} SELECT frame_idx, ext, y, x, round(v, 4) + 0.0 AS v FROM \"to\" WHERE v IS NOT NULL")
 def derotate_cube(spark, d):
-    return pixels(resample.derotated(fr(spark, d), angle())).where("v is not null").withColumn("v", F.round("v", 4))
+    return pixels(resample.derotated(fr(spark, d), angle())).where("v is not null").withColumn("v", F.round("v", 4) + F.lit(0.0))
 
 
-@query(f"WITH {PX}, {TURN} SELECT ext, y, x, round(avg(v), 4) AS v, count(v) AS n FROM \"to\" GROUP BY ext, y, x HAVING count(v) > 2")
+@query(f"WITH {PX}, {TURN} SELECT ext, y, x, round(avg(v), 4) + 0.0 AS v, count(v) AS n FROM \"to\" GROUP BY ext, y, x HAVING count(v) > 2")
 def adi_stack(spark, d):
     turned = pixels(resample.derotated(fr(spark, d), angle()))
-    return turned.groupBy("ext", "y", "x").agg(F.round(F.avg("v"), 4).alias("v"), F.count("v").alias("n")).where("n > 2")
+    return turned.groupBy("ext", "y", "x").agg((F.round(F.avg("v"), 4) + F.lit(0.0)).alias("v"), F.count("v").alias("n")).where("n > 2")
 
 
 @query(f"WITH {PX}, {resample_sql('px', 'x - 0.3', 'y + 0.4')} SELECT frame_idx, ext, y, x, {r6('v')} AS v FROM \"to\" WHERE v IS NOT NULL")

@@ -76,7 +76,7 @@ def paired_stitch(spark, d):
     return selection.stitched(p.where("y >= x"), p.where("y <= x").withColumn("v", -F.col("v")), ["frame_idx", "y", "x"])
 
 
-@query(f"SELECT {r6('5 + k / 6.0 * 12')} AS r_px, {r6('arm * 180.0 + degrees(k * 0.7) + 10')} AS pa_deg, (k + 1) * 0.5 AS scale FROM (SELECT i // 2 AS k, i % 2 AS arm FROM range(12) t(i))")
+@query(f"SELECT {r6('5 + k / 6.0 * 12')} AS r_px, {r6('arm * 180.0 + degrees(k * 0.7) + 10')} AS pa_deg, ((k + 1) * 0.5)::DOUBLE AS scale FROM (SELECT i // 2 AS k, i % 2 AS arm FROM range(12) t(i))")
 def companion_spiral(spark, d):
     return rounded(selection.spiral(spark, 5.0, 17.0, 6, 0.7, [0.5 * (k + 1) for k in range(6)], 2, 10.0), "r_px", "pa_deg", "scale")
 
@@ -96,7 +96,7 @@ def only_indices(spark, d):
     return items(spark, d).where(F.col("l_partkey").isin(3, 17, 99, 150)).select("l_orderkey", "l_linenumber", "l_partkey", "snr")
 
 
-@query("SELECT n_nationkey * 1.5 AS r_px, n_nationkey * 10.0 AS pa_deg, 0.25 AS scale FROM nation")
+@query("SELECT (n_nationkey * 1.5)::DOUBLE AS r_px, (n_nationkey * 10.0)::DOUBLE AS pa_deg, 0.25::DOUBLE AS scale FROM nation")
 def specs_round_trip(spark, d):
     k = F.col("n_nationkey").cast("double")
     table = spark.read.parquet(f"{d}/nation.parquet").select((k * 1.5).alias("r_px"), (k * 10).alias("pa_deg"), F.lit(0.25).alias("scale"))
