@@ -3,9 +3,10 @@
 Terms are the stems of all words: their first STEM letters in lower case, a truncating stemmer that needs no language's rules.
 The vocabulary is that of all labelled examples of a bounded sample, none left out; document frequencies are counted over all
 documents, and a term's weight in a text is its count times log((documents + 1) / (frequency + 1)).
-Every example is indexed: each term has a posting list in blocks of BLOCK examples, with the largest weight in each block. A
-text's bound for a block is the sum over its terms of its weight times that; blocks are opened in order of their bounds
-until the best bound left is below the k-th best cosine, so nothing is lost. The votes of the k nearest are weighted by their
+Every example is indexed: each term has a posting list in blocks of BLOCK examples, with the largest weight in each block; the lists
+of frequent terms are dense rows, multiplied for many texts at a time. A text's bound for a block is the largest part that the
+frequent terms give there, and the sum over its other terms of its weight times the block's largest. Blocks are opened in order of
+their bounds; those whose bound is below the k-th best cosine stay closed, so nothing is lost. The votes of the k nearest are weighted by their
 cosine, and calibrated by isotonic regression on the examples themselves, each scored without itself.
 
 Edge cases. Null and empty texts, and texts without a term that an example has, have no neighbours and get the sample's
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 from starloom.llm.common import labelled_sample, read, tune
 from starloom.llm.textblock import Block, slices, string_parts
 
-#: Bounds of the labelled sample; letters of a stem; neighbours; examples in a block; blocks opened at a time.
+#: Bounds of the labelled sample; letters of a stem; neighbours; examples in a block; blocks opened first.
 SAMPLE_ROWS, SAMPLE_BYTES, STEM, NEIGHBOURS, BLOCK, OPENED = 4000, 32 << 20, 4, 15, 64, 8
+#: A term is frequent if at least one in FREQUENT examples has it (its list is as large as a dense row); texts asked at a time.
+FREQUENT, TOGETHER = 16, 64
+#: The most that dense rows may take: beyond it frequent terms have lists too, with equal results.
+DENSE_BYTES = 48 << 20
 LEARN = "crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, nearest_cosine double"
 
@@ -75,10 +80,13 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Posting lists by term, in blocks of examples, and each block's largest weight."""
+    """Posting lists by term, in blocks of examples, with each block's largest weight; those of frequent terms as dense rows."""
 
     vocabulary: pa.Array
     idf: np.ndarray
+    order: np.ndarray  # of each place the example's number in the sample
+    frequent: np.ndarray  # of each term its dense row, -1 if it has lists
+    dense: np.ndarray  # weights of frequent terms by place
     term_at: np.ndarray  # first block list of each term, one more than terms
     list_block: np.ndarray  # of each block list: block, largest weight, first posting (one more)
     list_most: np.ndarray
@@ -88,62 +96,84 @@ class Index:
     label: np.ndarray
     ids: np.ndarray
     prior: float
-    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))  # votes and their calibrated scores, both rising
+    knots: tuple[np.ndarray, np.ndarray]  # votes and their calibrated scores, both rising
 
     @classmethod
     def of(cls, vocabulary: pa.Array, idf: np.ndarray, doc, term, weight, label, ids, prior: float) -> Index:
         """From the examples' normalised weights (doc, term, weight), of which examples with one main term get neighbouring places."""
-        main = np.full(len(label), len(vocabulary), np.int64)
+        n, terms = len(label), len(vocabulary)
+        main = np.full(n, terms, np.int64)
         order = np.lexsort((term, -weight, doc))
         _, first = np.unique(doc[order], return_index=True)
         main[doc[order][first]] = term[order][first]
         by = np.argsort(main, kind="stable")
-        place = np.empty(len(label), np.int64)
-        place[by] = np.arange(len(label))
+        place = np.empty(n, np.int64)
+        place[by] = np.arange(n)
         doc = place[doc]
+        df = np.bincount(term, minlength=terms)
+        many = df * FREQUENT >= max(n, 1)
+        many[np.argsort(-df, kind="stable")[DENSE_BYTES // (8 * max(n, 1)) :]] = False
+        frequent = np.where(many, np.cumsum(many) - 1, -1)
+        dense = np.zeros((int(many.sum()), n))
+        some = many[term]
+        dense[frequent[term[some]], doc[some]] = weight[some]
+        doc, term, weight = doc[~some], term[~some], weight[~some]
         order = np.lexsort((doc, term))
         doc, term, weight = doc[order], term[order], weight[order]
-        key = term * (len(label) // BLOCK + 1) + doc // BLOCK
+        key = term * (n // BLOCK + 1) + doc // BLOCK
         at = np.flatnonzero(np.diff(key, prepend=-1))
         most = np.maximum.reduceat(weight, at) if len(at) else np.zeros(0)
-        return cls(vocabulary, idf, np.searchsorted(term[at], np.arange(len(vocabulary) + 1)), doc[at] // BLOCK, most, np.append(at, len(doc)), doc, weight, label[by], ids[by], prior, (np.zeros(1), np.full(1, prior)))
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the NEIGHBOURS examples nearest to a normalised text: exact, as bounds only skip what can't get in."""
+        return cls(vocabulary, idf, by, frequent, dense, np.searchsorted(term[at], np.arange(terms + 1)), doc[at] // BLOCK, most, np.append(at, len(doc)), doc, weight, label[by], ids[by], prior, (np.zeros(1), np.full(1, prior)))
+
+    def search(self, texts: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each text (terms, normalised weights), the frequent terms of TOGETHER texts in one product."""
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
+            x = np.zeros((len(some), len(self.dense)))
+            for row, (term, weight) in zip(x, some, strict=True):
+                f = self.frequent[term]
+                row[f[f >= 0]] = weight[f >= 0]
+            for k, (row, (term, weight)) in enumerate(zip(x @ self.dense, some, strict=True)):
+                rare = self.frequent[term] < 0
+                yield self.nearest(row, term[rare], weight[rare], without[at + k] if without else -1)
+
+    def nearest(self, cosine: np.ndarray, term: np.ndarray, weight: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the NEIGHBOURS nearest examples, given the frequent terms' part of the cosines and the other terms.
+
+        Exact: a block is left closed only if its largest part so far and its lists' largest weights can't reach the k-th best.
+        """
         n = len(self.label)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0)
+        if without >= 0:
+            cosine[without] = -2.0  # no sum of normalised weights makes up for it
         size = self.term_at[term + 1] - self.term_at[term]
         lists, w = spans(self.term_at[term], size), np.repeat(weight, size)
         block = self.list_block[lists]
-        bound = np.bincount(block, w * self.list_most[lists], minlength=-(-n // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        cosine, least, at = np.zeros(n), 0.0, 0
-        best = np.zeros(0, np.int64)
-        while at < len(order):
-            some = order[at : at + OPENED]
-            some = some[bound[some] >= least - 1e-12]
-            if not len(some):
-                break
-            at += OPENED
+        bound = np.maximum.reduceat(cosine, np.arange(0, n, BLOCK)) + np.bincount(block, w * self.list_most[lists], minlength=-(-n // BLOCK))
+        closed = np.argsort(-bound, kind="stable")
+        closed = closed[bound[closed] > 0]
+        best, value, count = np.zeros(0, np.int64), np.zeros(0), OPENED
+        while len(closed):
+            some, closed = closed[:count], closed[count:]
             opened = np.zeros(len(bound), bool)
             opened[some] = True
             mine = np.flatnonzero(opened[block])
             size = self.list_at[lists[mine] + 1] - self.list_at[lists[mine]]
             where = spans(self.list_at[lists[mine]], size)
             cosine += np.bincount(self.example[where], np.repeat(w[mine], size) * self.weight[where], minlength=n)
-            if without >= 0:
-                cosine[without] = 0.0
-            best = np.flatnonzero(cosine > 0)
-            if len(best) > NEIGHBOURS:
-                cut = np.partition(cosine[best], len(best) - NEIGHBOURS)[len(best) - NEIGHBOURS]
-                best = best[cosine[best] >= cut]
-            best = best[np.lexsort((best, -cosine[best]))][:NEIGHBOURS]
-            least = cosine[best[-1]] if len(best) == NEIGHBOURS else 0.0
-        return best, cosine[best]
-
-    def term_of_postings(self) -> np.ndarray:
-        size = np.diff(self.list_at)
-        return np.repeat(np.repeat(np.arange(len(self.vocabulary)), np.diff(self.term_at)), size)
+            got = (np.sort(some)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            got = np.concatenate([best, got[got < n]])
+            got = got[cosine[got] > 1e-12]
+            if len(got) > NEIGHBOURS:
+                least = np.partition(cosine[got], len(got) - NEIGHBOURS)[len(got) - NEIGHBOURS]
+                got = got[cosine[got] >= least]
+            best = got[np.lexsort((got, -cosine[got]))][:NEIGHBOURS]
+            value = cosine[best]
+            if len(best) == NEIGHBOURS:
+                closed = closed[bound[closed] >= value[-1] - 1e-12]
+            count = len(closed)
+        return best, value
 
     def vote(self, place: np.ndarray, value: np.ndarray) -> float:
         """The cosine-weighted share of label 1 among the nearest, the prior having one more vote of their mean weight."""
@@ -197,10 +227,9 @@ def build(docs: DataFrame, labels: DataFrame, where: str | None = LEARN, rows: i
     norm = np.sqrt(np.bincount(doc, w * w, minlength=len(y)))
     keep = w > 0
     index = Index.of(vocabulary, idf, doc[keep], term[keep], (w / np.maximum(norm[doc], 1e-300))[keep], y, ids, prior)
-    by = np.lexsort((index.term_of_postings(), index.example))
-    example, term, weight = index.example[by], index.term_of_postings()[by], index.weight[by]
-    edge = np.searchsorted(example, np.arange(len(y) + 1))
-    own = np.array([index.vote(*index.nearest(term[a:b], weight[a:b], without=k)) for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False))])
+    edge = np.searchsorted(doc, np.arange(len(y) + 1))  # in order
+    rows = [(term[edge[k] : edge[k + 1]], w[edge[k] : edge[k + 1]] / max(norm[k], 1e-300)) for k in index.order.tolist()]
+    own = np.array([index.vote(*got) for got in index.search(rows, list(range(len(y))))])
     index.knots = calibrated(own, index.label)
     return index
 
@@ -223,7 +252,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     """Score, prediction and nearest examples of every document."""
     spark = docs.sparkSession
     tune(spark)
-    shared = spark.sparkContext.broadcast(index)  # bounded by the sample: its postings are at most as many as its words
+    shared = spark.sparkContext.broadcast(index)  # bounded: a posting for each distinct term of an example, and DENSE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -236,12 +265,15 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             for a, b in slices(offsets) if len(ix.vocabulary) else []:
                 doc, term, times = counts(Block(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]]), ix.vocabulary)
                 edge = np.searchsorted(doc, np.arange(b - a + 1))
+                asked, where = {}, {}
                 for k in np.flatnonzero(np.diff(edge)).tolist():
                     t, c = term[edge[k] : edge[k + 1]], times[edge[k] : edge[k + 1]]
-                    key = (t.tobytes(), c.tobytes())
-                    if key not in known:
-                        place, value = ix.nearest(t, ix.weights(t, c))
-                        known[key] = ix.vote(place, value), ix.ids[place].tolist(), float(value[0]) if len(value) else 0.0
+                    where[k] = key = (t.tobytes(), c.tobytes())
+                    if key not in known and key not in asked:
+                        asked[key] = (t, ix.weights(t, c))
+                for key, (place, value) in zip(asked, ix.search(list(asked.values())), strict=True):
+                    known[key] = ix.vote(place, value), ix.ids[place].tolist(), float(value[0]) if len(value) else 0.0
+                for k, key in where.items():
                     votes[a + k], near[a + k], top[a + k] = known[key]
             p = np.interp(votes, *ix.knots)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(top)], ["doc_id", "held_out", "score", "predicted", "nearest", "nearest_cosine"])

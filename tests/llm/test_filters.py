@@ -154,7 +154,9 @@ def test_nearest_equals_brute_force(spark, tables):
         assert not near or abs(got[d]["nearest_cosine"] - best[0]) < 1e-9
 
 
-def test_bounds_skip_blocks_without_loss():
+@pytest.mark.parametrize("frequent", [16, 2, 1])
+def test_bounds_skip_blocks_without_loss(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     rng = np.random.default_rng(2)
     n, v = 1000, 60
     x = np.where(rng.random((n, v)) < 0.1, rng.random((n, v)), 0.0) + 3 * np.eye(v)[rng.integers(0, v, n)]
@@ -163,7 +165,7 @@ def test_bounds_skip_blocks_without_loss():
     index = toxicity.Index.of(pa.array([str(k) for k in range(v)]), np.ones(v), doc, term, x[doc, term], np.zeros(n), np.arange(n), 0.5)
     for q in x[:50]:
         used = np.flatnonzero(q)
-        place, value = index.nearest(used, q[used])
+        [(place, value)] = index.search([(used, q[used])])
         assert np.allclose(value, np.sort(x @ q)[::-1][: toxicity.NEIGHBOURS])
         assert np.allclose((x @ q)[index.ids[place]], value)
 
