@@ -1,9 +1,12 @@
 """Sharding by histogram sort, in DataFrame operations only. Law `bytes`: sizes near equal.
 
-Rows are ordered by a hash of the text, then by doc_id: equal texts lie together. Splitters between shards are found by
-probing: each round counts, exactly and over all partitions, the bytes below 2**BITS candidate keys in the interval of every
-splitter not yet settled, and narrows it, until a probe is within TOLERANCE of a shard's size or the interval holds one key. A
-group of equal texts is cut only where it is larger than WHOLE of a shard: then the same search goes on over its doc_ids.
+Rows are ordered by a hash of the text, then by doc_id: equal texts lie together. Groups of equal texts above WHOLE of a shard are
+found by descending the hash's prefixes, counting exactly in each round and keeping those that hold so much: at most
+shards / WHOLE prefixes a round. Each of them, the largest first, goes whole into the shard with the most room, as long as it fits
+there; one that fits nowhere is cut at doc_ids, by the same search, as the law can't be held otherwise. All other texts fill the
+room that is left, in order of the hash: splitters between shards are found by probing, each round counting, exactly and over all
+partitions, the bytes below 2**BITS candidate keys in the interval of every splitter not yet settled, and narrowing it, until a
+probe is within TOLERANCE of a shard's size or the interval holds one key. Groups up to WHOLE of a shard are therefore never cut.
 Rows are exchanged once, by shard and fine range of keys, and numbered there; the ranges' counts give the offsets, so no shard
 has to fit a task.
 
@@ -14,12 +17,15 @@ can be empty where there are fewer texts than shards. Further columns are not re
 
 from __future__ import annotations
 
+import heapq
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.common import read, stored
 
-SHARDS, BITS, TOLERANCE, WHOLE, FINE = 24, 6, 0.002, 0.1, 32
+SHARDS, BITS, TOLERANCE, WHOLE, FINE = 24, 6, 0.002, 0.05, 32
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
@@ -63,6 +69,40 @@ def search(rows: DataFrame, column: str, targets: list[float], slack: float) ->
     return [done[k] for k in range(len(targets))]
 
 
+def heavy(rows: DataFrame, least: float) -> dict[int, int]:
+    """key -> bytes of every key with more than `least` bytes; the caller bounds their number by the total over least."""
+    alive, bits = {0: 0}, 0
+    while alive and bits < 64:
+        step = min(BITS, 64 - bits)
+        inside = rows.where(prefix("key", bits).isin(list(alive))) if bits else rows
+        bits += step
+        found = inside.groupBy(prefix("key", bits).alias("p")).agg(F.sum("size").alias("b")).where(F.col("b") > least).collect()
+        alive = {r["p"]: r["b"] for r in found}
+    # prefix() turns the sign bit, so that 64 of its bits are the key with that bit turned, read as signed.
+    return {p ^ LOW: b for p, b in alive.items()}
+
+
+def dealt(groups: dict[int, int], shards: int, share: float, slack: float) -> tuple[dict[int, list[tuple[int, float]]], list[float]]:
+    """key -> its (shard, bytes) in order, and the room left in each shard. The largest group goes first, into the shard with
+    the most room; what doesn't fit there goes on as a group of its own. Ties go to the smaller key and shard."""
+    room = [(-share, s) for s in range(shards)]
+    queue = [(-b, k) for k, b in groups.items()]
+    heapq.heapify(queue)
+    out: dict[int, list[tuple[int, float]]] = {}
+    while queue:
+        size, key = heapq.heappop(queue)
+        free, s = room[0]
+        part = size if -size <= -free + slack or -free <= slack else free
+        out.setdefault(key, []).append((s, -part))
+        heapq.heapreplace(room, (free - part, s))
+        if part != size:
+            heapq.heappush(queue, (size - part, key))
+    left = [0.0] * shards
+    for free, s in room:
+        left[s] = max(-free, 0.0)
+    return out, left
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, whole: float = WHOLE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -71,37 +111,45 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, w
     rows = stored(rows.withColumn("id", F.coalesce("doc_id", F.lit(LOW)).cast("long")), "shard-keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
     share = total / shards
-    targets = [share * k for k in range(1, shards)]
-    cuts: list[tuple[int, int]] = []  # a shard begins with the first (key, id) not below its cut
-    groups: dict[int, list[tuple[int, int]]] = {}
-    for k, (lo, b, hi, e) in enumerate(search(rows, "key", targets, tolerance * share)):
-        if hi - lo == 1 and e - b > whole * share and min(targets[k] - b, e - targets[k]) > tolerance * share:
-            groups.setdefault(lo, []).append((k, b))
-            cuts.append((lo, LOW))
-        else:
-            cuts.append((lo if targets[k] - b <= e - targets[k] else hi, LOW))
-    for key, wanted in groups.items():  # larger than WHOLE of a shard, so at most shards / WHOLE of them
-        found = search(rows.where(F.col("key") == key), "id", [targets[k] - b for k, b in wanted], tolerance * share)
-        for (k, first), (lo, b, hi, e) in zip(wanted, found, strict=True):
-            aim = targets[k] - first
-            at = lo if aim - b <= e - aim else hi
-            cuts[k] = (key, at) if at <= HIGH else (key + 1, LOW)
-    return exchanged(rows, cuts)
-
-
-def exchanged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    slack = tolerance * share
+    groups = heavy(rows, whole * share) if total else {}  # fewer than shards / whole
+    places, room = dealt(groups, shards, share, slack)
+    light = rows.where(~F.col("key").isin(list(groups))) if groups else rows
+    rest = total - sum(groups.values())
+    scale = rest / sum(room) if sum(room) else 0.0
+    targets = [scale * t for t in accumulate(room[:-1])]
+    cuts = []  # a shard begins with the first key not below its cut
+    for t, (lo, b, hi, e) in zip(targets, search(light, "key", targets, slack) if rest else [], strict=False):
+        cuts.append(lo if t - b <= e - t else hi)
+    pieces: dict[int, list[tuple[int, int]]] = {}  # (first id, shard) of what a group is cut into
+    for key, at in places.items():
+        if len(at) > 1:  # fewer than shards pieces besides the first of each
+            ends = list(accumulate(b for _, b in at[:-1]))
+            found = search(rows.where(F.col("key") == key), "id", ends, slack)
+            starts = [lo if t - b <= e - t else hi for t, (lo, b, hi, e) in zip(ends, found, strict=True)]
+            pieces[key] = list(zip(starts, (s for s, _ in at[1:]), strict=True))
+    return exchanged(rows, cuts, {k: at[0][0] for k, at in places.items()}, pieces)
+
+
+def exchanged(rows: DataFrame, cuts: list[int], groups: dict[int, int], pieces: dict[int, list[tuple[int, int]]]) -> DataFrame:
     """The one exchange: by shard and fine range; slots from the row number there and the counts of the ranges before."""
     number = F.lit(0)
-    for key, i in cuts:  # at most one comparison for each of a fixed number of shards
-        number = number + ((F.col("key") > key) | ((F.col("key") == key) & (F.col("id") >= i))).cast("int")
+    for key in cuts:  # one comparison for each of a fixed number of shards
+        number = number + (F.col("key") >= key).cast("int")
+    if groups:
+        at = F.map_from_arrays(F.array(*map(F.lit, groups)), F.array(*map(F.lit, groups.values())))
+        number = F.when(F.col("key").isin(list(groups)), F.try_element_at(at, F.col("key"))).otherwise(number)
+    for key, parts in pieces.items():
+        for first, s in parts:
+            number = F.when((F.col("key") == key) & (F.col("id") >= F.lit(min(first, HIGH))), F.lit(s)).otherwise(number)
     # Ranges of equal width in the hash, and parts by a hash of the id, so that a hot text's rows are numbered in several tasks.
     fine = F.floor((F.col("key") / 2.0**64 + 0.5) * FINE * 24)
     inner = F.pmod(F.xxhash64("id"), F.lit(FINE))
-    placed = rows.withColumn("shard", number).withColumn("fine", fine).withColumn("inner", inner)
+    placed = rows.withColumn("shard", number.cast("int")).withColumn("fine", fine).withColumn("inner", inner)
     w = Window.partitionBy("shard", "fine", "inner").orderBy("key", "id")
     counts = placed.groupBy("shard", "fine", "inner").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("fine", "inner").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    out = placed.withColumn("row", F.row_number().over(w)).join(F.broadcast(before), ["shard", "fine", "inner"])  # at most FINE * 24 * (FINE + 1) rows
+    out = placed.withColumn("row", F.row_number().over(w)).join(F.broadcast(before), ["shard", "fine", "inner"])  # at most FINE * FINE * 25 rows and FINE for each group
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("row") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
