@@ -65,12 +65,12 @@ def sigma_mad(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.join(middle, by).groupBy(*by).agg((1.48 * F.median(F.abs(F.col(value) - F.col("_m")))).alias("sigma"))
 
 
-def ring_sigmas(df: DataFrame, r: str, value: str, width: float) -> DataFrame:
-    """For each distinct radius the sigma_mad of all values less than `width` from it.
+def ring_sigmas(df: DataFrame, r: str, value: str, width: float, at: DataFrame | None = None) -> DataFrame:
+    """For each distinct radius (of `at`, if given) the sigma_mad of all values less than `width` from it.
 
     Radii are put in bands of the width: a radius only needs its own band and the two beside it, an equi-join.
     """
-    radii = df.select(F.col(r).alias("r0")).distinct().withColumn("_b", F.explode(F.array(*(F.floor(F.col("r0") / width) + k for k in (-1, 0, 1)))))
+    radii = (df if at is None else at).select(F.col(r).alias("r0")).distinct().withColumn("_b", F.explode(F.array(*(F.floor(F.col("r0") / width) + k for k in (-1, 0, 1)))))
     rows = df.select(F.col(r).alias("_r"), F.col(value).alias("_v"), F.floor(F.col(r) / width).alias("_b"))
     near = rows.join(radii, "_b").where(F.abs(F.col("_r") - F.col("r0")) < width).select("r0", "_v")
     return sigma_mad(near, ["r0"], "_v")

@@ -149,3 +149,45 @@ def numbered(log: DataFrame, *order: str) -> DataFrame:
 
     before = base.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return base.join(F.broadcast(before.select("_p", "_b")), "_p").withColumn("frame_idx", F.col("_b") + F.col("_i")).drop("_p", "_b", "_i")
+
+
+def trimmed_model(px: DataFrame, share: float) -> DataFrame:
+    """Pixels below that share of their frame's peak as 0."""
+    from pyspark.sql import Window
+
+    peak = F.max("v").over(Window.partitionBy("frame_idx", "ext"))
+    return px.withColumn("_m", peak).withColumn("v", F.when(F.col("v") >= share * F.col("_m"), F.col("v")).otherwise(0.0)).drop("_m")
+
+
+def without_signal(px: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(y, x) of pixels that no frame's model is above the threshold in."""
+    return px.groupBy("y", "x").agg(F.max("v").alias("_m")).where(~F.coalesce(F.col("_m") > threshold, F.lit(False))).select("y", "x")
+
+
+def not_flat(px: DataFrame) -> DataFrame:
+    """(frame_idx, ext) of frames whose pixels aren't all of one value."""
+    return px.groupBy("frame_idx", "ext").agg(F.min("v").alias("_a"), F.max("v").alias("_b")).where("_a <> _b").select("frame_idx", "ext")
+
+
+def unusual_pixels(px: DataFrame, spread: float, peak: float) -> DataFrame:
+    """(y, x, bad): whether the values' spread or maximum is above that quantile of all pixels' (one image's worth of rows)."""
+    s = px.groupBy("y", "x").agg(F.stddev_pop("v").alias("_s"), F.max("v").alias("_m"))
+    q = s.agg(F.percentile("_s", F.lit(spread)).alias("_qs"), F.percentile("_m", F.lit(peak)).alias("_qm"))
+    return s.crossJoin(F.broadcast(q)).select("y", "x", ((F.col("_s") > F.col("_qs")) | (F.col("_m") > F.col("_qm"))).alias("bad"))  # q: one row
+
+
+def without_median(px: DataFrame, *by: str) -> DataFrame:
+    """Pixels less the median of their group."""
+    return px.join(px.groupBy(*by).agg(F.median("v").alias("_m")), list(by)).withColumn("v", F.col("v") - F.col("_m")).drop("_m")
+
+
+def peak_in_box(px: DataFrame, box: Box, ny: int, nx: int) -> DataFrame:
+    """(frame_idx, ext, peak_y, peak_x, found): the largest pixel in a box, the first of equal ones; not found if it lies on the
+    box's border, and the box's middle then stands in for it."""
+    y0, y1, x0, x1 = box.overlap(ny, nx)
+    inside = px.where((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1) & F.col("v").isNotNull())
+    best = inside.groupBy("frame_idx", "ext").agg(F.max(F.struct("v", (-F.col("y")).alias("y"), (-F.col("x")).alias("x"))).alias("_b"))
+    y, x = -F.col("_b.y"), -F.col("_b.x")
+    found = (y > y0) & (y < y1 - 1) & (x > x0) & (x < x1 - 1)
+    at = lambda v, middle: F.when(found, v).otherwise(F.lit(middle)).cast("int")
+    return best.select("frame_idx", "ext", at(y, box.y + box.height // 2).alias("peak_y"), at(x, box.x + box.width // 2).alias("peak_x"), found.alias("found"))

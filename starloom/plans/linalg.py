@@ -119,41 +119,49 @@ def klip_weights(g: np.ndarray, k: int, out: list[np.ndarray] | None = None) ->
     return w
 
 
-def exclusion_weights(spark, g: np.ndarray, k: int, out: list[np.ndarray]) -> np.ndarray:
-    """klip_weights() with exclusions: a decomposition for each frame, dealt out over the cluster; g is broadcast (of a checked size)."""
-    shared = spark.sparkContext.broadcast((g, np.array(out)))
+def by_frame(spark, n: int, shared, column) -> np.ndarray:
+    """The n x n matrix of column(i, *shared), each worked out on the cluster; what is shared is broadcast (of a checked size)."""
+    sent = spark.sparkContext.broadcast(shared)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, masks = shared.value
         for df in batches:
-            rows = []
-            for i in df["id"]:
-                keep = np.flatnonzero(~masks[i])
-                val, vec = top(m[np.ix_(keep, keep)], k)
-                w = np.zeros(len(m))
-                w[keep] = vec @ ((vec.T @ m[keep, i]) / val)
-                rows.append(w.tobytes())
-            yield pd.DataFrame({"i": df["id"], "w": rows})
-
-    frames = spark.range(len(g), numPartitions=max(1, min(len(g), 4 * spark.sparkContext.defaultParallelism)))
+            yield pd.DataFrame({"i": df["id"], "w": [column(i, *sent.value).tobytes() for i in df["id"]]})
+
+    frames = spark.range(n, numPartitions=max(1, min(n, 4 * spark.sparkContext.defaultParallelism)))
     got = frames.mapInPandas(run, "i long, w binary").toArrow()
-    w = np.zeros_like(g)
+    w = np.zeros((n, n))
     for i, row in zip(got["i"].to_pylist(), got["w"].to_pylist(), strict=True):
         w[:, i] = np.frombuffer(row)
-    shared.destroy()
+    sent.destroy()
     return w
 
 
-def downdate_weights(g: np.ndarray, k: int, out: list[np.ndarray], rank: int) -> np.ndarray:
+def exclusion_weights(spark, g: np.ndarray, k: int, out: list[np.ndarray]) -> np.ndarray:
+    """klip_weights() with exclusions: a decomposition for each frame, dealt out over the cluster."""
+
+    def column(i, m, masks):
+        keep = np.flatnonzero(~masks[i])
+        val, vec = top(m[np.ix_(keep, keep)], k)
+        w = np.zeros(len(m))
+        w[keep] = vec @ ((vec.T @ m[keep, i]) / val)
+        return w
+
+    return by_frame(spark, len(g), (g, np.array(out)), column)
+
+
+def downdate_weights(spark, g: np.ndarray, k: int, out: list[np.ndarray], rank: int) -> np.ndarray:
     """The same from one truncated basis of all frames, with excluded frames' rows taken out of it: exact for full rank."""
     val, v = top(g, rank)
-    s, w = np.sqrt(val), np.zeros_like(g)
-    for i in range(len(g)):
-        kept = v * ~out[i][:, None]
-        u, _, _ = np.linalg.svd(np.diag(s) @ kept.T @ kept @ np.diag(s))
-        basis = u[:, :k]
-        w[:, i] = v @ ((basis @ (basis.T @ ((v.T @ g[:, i]) / s))) / s)
-    return w
+
+    def column(i, m, masks, val, v):
+        s = np.sqrt(val)
+        # v'v is the identity, so only the excluded rows' products are needed.
+        gone = v[masks[i]] * s
+        _, u = np.linalg.eigh(np.diag(val) - gone.T @ gone)
+        basis = u[:, ::-1][:, :k]
+        return v @ ((basis @ (basis.T @ ((v.T @ m[:, i]) / s))) / s)
+
+    return by_frame(spark, len(g), (g, np.array(out), val, v), column)
 
 
 def klip(se: DataFrame, k: int, exclusions: list[np.ndarray] | None = None, rank: int | None = None) -> DataFrame:
@@ -163,7 +171,7 @@ def klip(se: DataFrame, k: int, exclusions: list[np.ndarray] | None = None, rank
     if not exclusions:
         w = klip_weights(g, k)
     else:
-        w = downdate_weights(g, k, exclusions, rank) if rank is not None else exclusion_weights(se.sparkSession, g, k, exclusions)
+        w = downdate_weights(se.sparkSession, g, k, exclusions, rank) if rank is not None else exclusion_weights(se.sparkSession, g, k, exclusions)
     return mapped(x, lambda m: m - m @ w)
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starloom.model import series, unseries
-from starloom.operators import combine
 from starloom.plans import linalg, pipeline
 from starloom.plans.pixel_queries import N, angle, fr, px, rounded
 from starloom.plans.registry import PX, query, r6
@@ -48,14 +47,10 @@ def klip_exclusions(spark, d):
     return energy(linalg.centred(se), linalg.klip(se, 5, linalg.excluded(np.arange(n), 2)))
 
 
-def combined(spark, d) -> DataFrame:
-    """Frames averaged by tens: a cube short enough for one decomposition a frame."""
-    return series(combine.chunks(px(spark, d).withColumn("ext", F.lit(0)), 10).select(F.col("chunk").alias("frame_idx"), "ext", "y", "x", "v"))
-
-
 @query()
 def klip_downdate(spark, d):
-    se = combined(spark, d)
+    """The same exclusions, from one basis of all frames."""
+    se = cube(spark, d)
     n = len(se.first()["ts"])
     return energy(linalg.centred(se), linalg.klip(se, 5, linalg.excluded(np.arange(n), 2), rank=n))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import geometry, photometry
 from starloom.model import frames, grid, pixels
-from starloom.operators import apertures, combine, masks, resample
+from starloom.operators import apertures, combine, masks, resample, selection
 from starloom.plans.registry import PX, query, r6
 from starloom.sources import regions
 
@@ -139,15 +139,12 @@ for name, axis in (("global", []), ("row", ["y"]), ("col", ["x"])):
     @query(f"WITH {PX} SELECT frame_idx, ext, y, x, {r6(f'v - median(v) OVER (PARTITION BY {by})')} AS v FROM px", f"median_subtract_{name}")
     def _median(spark, d, axis=axis):
         keys = ["frame_idx", "ext", *axis]
-        p = px(spark, d)
-        return rounded(p.join(p.groupBy(*keys).agg(F.median("v").alias("m")), keys).select("frame_idx", "ext", "y", "x", (F.col("v") - F.col("m")).alias("v")), "v")
+        return rounded(selection.without_median(px(spark, d), *keys).select("frame_idx", "ext", "y", "x", "v"), "v")
 
 
 @query(f"WITH {PX}, s AS (SELECT y, x, stddev_pop(v) AS s, max(v) AS m FROM px GROUP BY y, x), q AS (SELECT quantile_cont(s, 0.9) AS qs, quantile_cont(m, 0.95) AS qm FROM s) SELECT y, x, s > qs OR m > qm AS bad FROM s, q")
 def empirical_badpix(spark, d):
-    s = px(spark, d).groupBy("y", "x").agg(F.stddev_pop("v").alias("s"), F.max("v").alias("m"))
-    q = s.agg(F.expr("percentile(s, 0.9)").alias("qs"), F.expr("percentile(m, 0.95)").alias("qm"))
-    return s.crossJoin(F.broadcast(q)).select("y", "x", ((F.col("s") > F.col("qs")) | (F.col("m") > F.col("qm"))).alias("bad"))  # q: one row
+    return selection.unusual_pixels(px(spark, d), 0.9, 0.95)
 
 
 @query(f"WITH {PX} SELECT DISTINCT y, x, {r6(RHO)} AS rho, {r6(PHI)} AS phi, {r6('(degrees(' + PHI + ') - 90 + 720) % 360')} AS pa_deg FROM px")
@@ -339,21 +336,17 @@ def rough_peak_in_box(spark, d):
 
 @query(f"WITH {PX} SELECT frame_idx, ext FROM px GROUP BY frame_idx, ext HAVING min(v) <> max(v)")
 def flat_frame_rejection(spark, d):
-    return px(spark, d).groupBy("frame_idx", "ext").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("frame_idx", "ext")
+    return selection.not_flat(px(spark, d))
 
 
 @query(f"WITH {PX}, m AS (SELECT *, max(v) OVER (PARTITION BY frame_idx, ext) AS m FROM px) SELECT frame_idx, ext, y, x, CASE WHEN v >= 0.5 * m THEN v ELSE 0 END AS v FROM m")
 def trim_model(spark, d):
-    from pyspark.sql import Window
-
-    return px(spark, d).withColumn("m", F.max("v").over(Window.partitionBy("frame_idx", "ext"))).select("frame_idx", "ext", "y", "x", F.when(F.col("v") >= 0.5 * F.col("m"), F.col("v")).otherwise(0.0).alias("v"))
+    return selection.trimmed_model(px(spark, d), 0.5).select("frame_idx", "ext", "y", "x", "v")
 
 
 @query(f"WITH {PX} SELECT DISTINCT y, x FROM px WHERE (y, x) NOT IN (SELECT (y, x) FROM px GROUP BY y, x HAVING max(v) > 0.35)")
 def pixels_without_signal(spark, d):
-    p = px(spark, d)
-    hit = p.groupBy("y", "x").agg(F.max("v").alias("m")).where("m > 0.35").select("y", "x")
-    return p.select("y", "x").distinct().join(hit, ["y", "x"], "left_anti")
+    return selection.without_signal(px(spark, d), 0.35)
 
 
 @query(f"SELECT n_nationkey AS k, {r6('5 * log10((10 + n_nationkey) / 10.0) + 1.5')} AS apparent, {r6('-2.5 * log10(0.001 * (1 + n_nationkey))')} AS deltamag, {r6('pow(10, (2 + n_nationkey * 0.1) / -2.5)')} AS contrast, {r6('abs(-2.5 * 0.3 / ((1 + n_nationkey) * ln(10)))')} AS mag_err FROM nation")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from starloom.operators import combine, grid, headers
 from starloom.plans.pixel_queries import rounded
 from starloom.plans.registry import query, r6
+from starloom.sources import regions
 
 DAY3 = 3 * 86400
 
@@ -197,5 +198,4 @@ def parse_companion(spark, d):
 @query("SELECT r_px, pa_deg, n, lines FROM (SELECT l_quantity AS r_px, l_linenumber AS pa_deg, count(*) AS n, min('circle(' || format('{:.4f}', l_quantity + 1) || ',' || format('{:.4f}', l_linenumber + 1.0) || ',2.0000)') AS lines FROM lineitem GROUP BY 1, 2)")
 def region_lines(spark, d):
     g = items(spark, d).groupBy("r_px", "pa_deg").agg(F.count("*").alias("n"))
-    line = F.format_string("circle(%.4f,%.4f,%.4f)", F.col("r_px") + 1, F.col("pa_deg") + 1.0, F.lit(2.0))
-    return g.withColumn("lines", line)
+    return regions.circles(g, F.col("r_px"), F.col("pa_deg").cast("double"), F.lit(2.0), "r_px", "pa_deg", "n").withColumnRenamed("value", "lines")

@@ -24,9 +24,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path))
 
 
-def circles(df: DataFrame, x: Column, y: Column, r: Column) -> DataFrame:
-    """(value): lines of a region file, coordinates from 1."""
-    return df.select(F.format_string("circle(%.4f,%.4f,%.4f)", x + 1, y + 1, r).alias("value"))
+def circles(df: DataFrame, x: Column, y: Column, r: Column, *more: str) -> DataFrame:
+    """(value): lines of a region file, coordinates from 1, beside the columns asked for."""
+    return df.select(*more, F.format_string("circle(%.4f,%.4f,%.4f)", x + 1, y + 1, r).alias("value"))
 
 
 def curve(spark: SparkSession, path: str) -> DataFrame:
