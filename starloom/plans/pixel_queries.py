@@ -367,13 +367,27 @@ def _template(n: int = 4):
     return resample.gauss2d(n, n, (n - 1) / 2, (n - 1) / 2, 1.0, 1.0)
 
 
-@query()
+def _weights_sql(i: str, t: str) -> str:
+    """The bicubic kernel's weight of tap i of 4 at the fraction t."""
+    w = [f"0.5 * (-{t} + 2 * {t}*{t} - {t}*{t}*{t})", f"0.5 * (2 - 5 * {t}*{t} + 3 * {t}*{t}*{t})", f"0.5 * ({t} + 4 * {t}*{t} - 3 * {t}*{t}*{t})", f"0.5 * ({t}*{t}*{t} - {t}*{t})"]
+    return f"CASE {i} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(w)) + " END"
+
+
+INJECTED = f"""c AS (SELECT * FROM (VALUES (2.0::DOUBLE, 30.0::DOUBLE, 0.5::DOUBLE), (2.5, 200.0, 0.25)) t(r, pa, scale)),
+    tp AS (SELECT i AS ty, j AS tx, exp(-0.5 * ((i - 1.5) * (i - 1.5) + (j - 1.5) * (j - 1.5)))::DOUBLE AS t FROM range(4) a(i), range(4) b(j)),
+    s AS (SELECT frame_idx, ext, y, x, r, scale, round(x - (r * cos(radians(90 + pa - (frame_idx * 7.0) % 360)) + 3.5 - 1.5), 9) AS sx, round(y - (r * sin(radians(90 + pa - (frame_idx * 7.0) % 360)) + 3.5 - 1.5), 9) AS sy FROM px, c),
+    n AS (SELECT s.*, {_weights_sql('i', '(sy - floor(sy))')} AS wy, {_weights_sql('j', '(sx - floor(sx))')} AS wx, t FROM s, range(4) a(i), range(4) b(j) LEFT JOIN tp ON ty = floor(sy) + i - 1 AND tx = floor(sx) + j - 1),
+    one AS (SELECT frame_idx, ext, y, x, r, scale * CASE WHEN count(t) > 8 THEN sum(wy * wx * coalesce(t, 0)) ELSE 0 END AS add_v FROM n GROUP BY frame_idx, ext, y, x, r, scale),
+    more AS (SELECT frame_idx, ext, y, x, sum(add_v) AS add_v FROM one GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"WITH {PX}, {INJECTED} SELECT frame_idx, ext, y, x, {r6('least(v + add_v, 0.6)')} AS v FROM px JOIN more USING (frame_idx, ext, y, x)")
 def inject_signals(spark, d):
     companions = spark.createDataFrame([(2.0, 30.0, 0.5), (2.5, 200.0, 0.25)], "r_px double, pa_deg double, scale double")
     return rounded(pixels(resample.injected(fr(spark, d), companions, _template(), angle(), clip=0.6)), "v")
 
 
-@query()
+@query("SELECT vec_id AS frame_idx, label AS ext, 2.0::DOUBLE AS dy, -1.0::DOUBLE AS dx FROM embeddings")
 def phase_shift(spark, d):
     """Each frame's offset from itself shifted by a known amount."""
     from pyspark.sql.functions import pandas_udf
@@ -391,7 +405,11 @@ def phase_shift(spark, d):
     return fr(spark, d).withColumn("m", measure("pix", "ny", "nx")).select("frame_idx", "ext", F.round("m.dy", 2).alias("dy"), F.round("m.dx", 2).alias("dx"))
 
 
-@query()
+#: The Gaussian's transform back in one direction of 8 pixels, at each wrapped offset.
+WRAPPED = ", ".join(f"({k}, {sum(math.exp(-2 * (math.pi * f / 8) ** 2) * math.cos(2 * math.pi * f * k / 8) for f in range(-4, 4)) / 8!r}::DOUBLE)" for k in range(8))
+
+
+@query(f"WITH {PX}, g AS (SELECT * FROM (VALUES {WRAPPED}) t(o, w)), h AS (SELECT frame_idx, ext, y, (x + o) % 8 AS x, sum(v * w) AS v FROM px, g GROUP BY frame_idx, ext, y, (x + o) % 8) SELECT frame_idx, ext, CAST((y + o) % 8 AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {r6('sum(v * w)')} AS v FROM h, g GROUP BY frame_idx, ext, (y + o) % 8, x")
 def gaussian_smooth(spark, d):
     return rounded(pixels(resample.smoothed(fr(spark, d), 1.0)), "v")
 
