@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from starloom.plans import command_queries, linalg_queries, more_queries, pixel_queries, registry, selection_queries, table_queries  # noqa: F401  they register their queries
+from starloom.plans import command_queries, linalg_queries, loading_queries, more_queries, pixel_queries, registry, selection_queries, table_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Callable]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,14 @@ def max_radius(ny: int, nx: int) -> float:
     return min(centre(ny), centre(nx))
 
 
+def min_radius(px: DataFrame, ny: int, nx: int) -> DataFrame:
+    """(frame_idx, ext, r): the least whole radius below the largest circle's whose ring of one pixel has nothing missing, NULL if none."""
+    ring = F.floor(rho(F.col("y"), F.col("x"), centre(ny), centre(nx)) + 0.5).cast("int")
+    gone = px.groupBy("frame_idx", "ext").agg(F.collect_set(F.when(F.col("v").isNull(), ring)).alias("_g"))  # at most a ring a pixel of radius
+    whole = F.expr(f"filter(sequence(0, {int(max_radius(ny, nx)) - 1}), i -> not array_contains(_g, i))")
+    return gone.select("frame_idx", "ext", F.try_element_at(whole, F.lit(1)).alias("r"))
+
+
 def working_radii(ny: int, nx: int, diameter: float, exclude_nearest: int, low: float | None = None, high: float | None = None) -> tuple[float, float]:
     """Radii with two noise apertures at least and apertures inside the image, within the data's own limits."""
     least = (2 * exclude_nearest + 3) * diameter / (2 * math.pi) + diameter / 2

@@ -72,6 +72,23 @@ def parse_obs_method(text: str) -> dict:
     return out
 
 
+def obs_method_tokens(text: Column) -> Column:
+    """The same of a column, flat: a map of dotted paths, their last part lower-cased, to values; of a repeated path the last counts."""
+    path = lambda t: F.split_part(t, F.lit("="), F.lit(1))
+    last = lambda t: F.lower(F.split_part(path(t), F.lit("."), F.lit(-1)))
+    key = lambda t: F.concat(F.substring(path(t), F.lit(1), F.length(path(t)) - F.length(last(t))), last(t))
+    value = lambda t: F.substring(t, F.length(path(t)) + 2, F.length(t))
+    tokens = F.filter(F.split(F.trim(text), r"\s+"), lambda t: t != "")
+    keys = F.transform(tokens, key)
+    latest = F.filter(F.transform(tokens, lambda t, i: F.struct(key(t).alias("key"), value(t).alias("value"), i.alias("i"))), lambda e: F.array_position(F.reverse(keys), e.key) == F.size(keys) - e.i)
+    return F.map_from_entries(F.transform(latest, lambda e: F.struct(e.key, e.value)))
+
+
+def sequence(hdus: DataFrame, keyword: str, ext: Column, key: str = "path", header: str = "header") -> DataFrame:
+    """(key, value): a keyword of one extension of each file, NULL where the header lacks it."""
+    return hdus.where(ext).select(key, F.try_element_at(F.col(header), F.lit(keyword)).alias("value"))
+
+
 def flatten_obs_method(nested: dict, before: str = "") -> str:
     tokens = []
     for k, v in nested.items():

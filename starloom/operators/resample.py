@@ -110,10 +110,17 @@ def smoothed(fr: DataFrame, sigma: float) -> DataFrame:
     return each(fr, lambda img: gaussian_smooth(img, sigma))
 
 
-def phase_shift(ref: np.ndarray, img: np.ndarray, upsample: int = 100) -> tuple[float, float]:
-    """(dy, dx) by which img has to move to lie on ref: the peak of the phase correlation, refined on a grid of 1 / upsample."""
+def unsharp_masked(fr: DataFrame, sigma: float) -> DataFrame:
+    """Frames less themselves smoothed."""
+    return each(fr, lambda img: img - gaussian_smooth(img, sigma))
+
+
+def phase_shift(ref: np.ndarray, img: np.ndarray, upsample: int = 100, whiten: bool = False) -> tuple[float, float]:
+    """(dy, dx) by which img has to move to lie on ref: the peak of the cross-correlation, refined on a grid of 1 / upsample;
+    with whitening, of the phase correlation."""
     cross = np.fft.fft2(np.nan_to_num(ref)) * np.conj(np.fft.fft2(np.nan_to_num(img)))
-    cross /= np.maximum(np.abs(cross), 1e-12 * np.abs(cross).max() or 1)
+    if whiten:
+        cross /= np.maximum(np.abs(cross), 1e-12 * np.abs(cross).max() or 1)
     corr = np.abs(np.fft.ifft2(cross))
     peak = np.array(np.unravel_index(corr.argmax(), corr.shape), float)
     size = np.array(corr.shape)
@@ -160,6 +167,8 @@ def tophat(diameter: float) -> list[tuple[int, int, float]]:
 
 def injected(fr: DataFrame, companions: DataFrame, template: np.ndarray, angle: Column, clip: float | None = None) -> DataFrame:
     """frames plus companions (r_px, pa_deg, scale): the template, its centre moved to where each is before derotation, times scale."""
+    if not np.isfinite(template).all():
+        raise ValueError("the template has missing pixels")
     one = companions.agg(F.collect_list(F.struct("r_px", "pa_deg", "scale")).alias("_c"))  # a few rows of a config
 
     def work(img, deg, cs):

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions import geometry, photometry
-from starloom.operators import apertures, grid, resample, selection
+from starloom.model import missing, pixels
+from starloom.operators import apertures, combine, grid, resample, selection
+from starloom.sources import fits
 
 #: What makes a task of its own; rows that agree in these share one execution.
 EXTERNAL = ["r_px", "pa_deg", "annulus_resel", "injected_scale", "decimate_frames_by"]
@@ -85,9 +87,7 @@ def measured_grid(points: DataFrame, checkpoint: str, run: Callable[[DataFrame],
     spark = points.sparkSession
 
     def done() -> DataFrame | None:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
-        there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return spark.read.parquet(checkpoint) if there else None
+        return spark.read.parquet(checkpoint) if fits.exists(spark, checkpoint) else None
 
     for k in range(batches):
         old = done()
@@ -103,6 +103,60 @@ def ring_scaled(df: DataFrame, r: str, value: str, width: float, out: str = "snr
     return df.join(sigmas, r, "left").withColumn(out, F.col(value) / F.nullif(F.col("sigma"), F.lit(0.0))).drop("sigma")
 
 
+def loaded(fr: DataFrame, angle: Column, template: np.ndarray, companions: list[tuple[float, float, float]], factor: Column | None = None, every: int = 1, offset: int = 0, size: int = 1, how: str = "sum") -> DataFrame:
+    """(kind, frame_idx, ext, y, x, v, angle_deg) of the frames offset, offset + every, ..: kind `model` is the companions' signal at
+    scale 1, `image` the frames divided by their factor plus companions (r_px, pa_deg, scale) at their scale. Every `size` frames are
+    combined, their angles averaged; frame_idx counts what is left."""
+    part = fr.withColumn("_a", angle.cast("double")).where((F.col("frame_idx") >= offset) & ((F.col("frame_idx") - offset) % every == 0))
+    image = part.withColumn("_f", F.lit(1.0) if factor is None else factor.cast("double"))
+    image = image.withColumn("pix", F.transform("pix", lambda v: missing(v) / F.col("_f"))).drop("_f")
+    zeros = part.withColumn("pix", F.transform("pix", lambda _: F.lit(0.0)))
+    place = "r_px double, pa_deg double, scale double"
+    table = lambda rows: fr.sparkSession.createDataFrame(rows, place)
+    some = [c for c in companions if c[2] != 0]
+    image = resample.injected(image, table(some), template, F.col("_a")) if some else image
+    model = resample.injected(zeros, table([(r, pa, 1.0) for r, pa, _ in companions]), template, F.col("_a")) if companions else zeros
+    turned = part.select(F.floor((F.col("frame_idx") - offset) / (every * size)).alias("frame_idx"), "ext", "_a").groupBy("frame_idx", "ext").agg(F.avg("_a").alias("angle_deg"))
+    out = None
+    for kind, frames in (("image", image), ("model", model)):
+        px = pixels(frames).withColumn("frame_idx", F.expr(f"(frame_idx - {offset}) div {every}"))
+        one = combine.chunks(px, size, how).withColumnRenamed("chunk", "frame_idx").withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.join(turned, ["frame_idx", "ext"]).select("kind", "frame_idx", "ext", "y", "x", "v", "angle_deg")
+
+
+def components_stacked(components: list[tuple[DataFrame, DataFrame | None, float, Column | None, int]], how: str = "sum") -> DataFrame:
+    """(destination, y, x, v, coverage) of components (frames, mask (y, x) or None, amplitude, angle or None, destination): pixels
+    outside the mask are missing, frames are derotated by their angle, multiplied by the amplitude and combined; the coverage is
+    the sum of the masks, derotated alike."""
+    out = None
+    for fr, mask, amplitude, angle, destination in components:
+        px = pixels(fr).withColumn("_n", F.lit(1.0))
+        if mask is not None:
+            px = px.join(mask.select("y", "x").distinct().withColumn("_in", F.lit(True)), ["y", "x"], "left").withColumn("_n", F.when(F.col("_in"), 1.0).otherwise(0.0))
+        px = px.withColumn("v", F.when(F.col("_n") > 0, F.col("v")))
+        if angle is not None:
+            whole = fr.select("frame_idx", "ext", "ny", "nx", angle.cast("double").alias("_a"))
+            at = F.col("y") * F.col("nx") + F.col("x")
+            rows = px.join(whole, ["frame_idx", "ext"]).groupBy("frame_idx", "ext", "ny", "nx", "_a").agg(F.array_sort(F.collect_list(F.struct(at.alias("i"), "v", "_n"))).alias("_p"))  # an image a row
+            turned = lambda c: resample.derotated(rows.withColumn("pix", F.col(f"_p.{c}")), F.col("_a")).select("frame_idx", "ext", "ny", "nx", "pix")  # noqa: E731, B023
+            px = pixels(turned("v")).join(pixels(turned("_n")).withColumnRenamed("v", "_n"), ["frame_idx", "ext", "y", "x"])
+        one = px.select(F.lit(destination).alias("destination"), "y", "x", (F.col("v") * amplitude).alias("v"), "_n")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("destination", "y", "x").agg(combine.STATISTICS[how](F.col("v")).alias("v"), F.coalesce(F.sum("_n"), F.lit(0.0)).alias("coverage"))
+
+
+def saved(spark: SparkSession, artifacts: dict[str, DataFrame], folder: str) -> list[str]:
+    """The artifacts as Parquet tables of their names in the folder; FileExistsError if any of them is there, and nothing is written."""
+    paths = [f"{folder.rstrip('/')}/{name}" for name in artifacts]
+    for path in paths:
+        if fits.exists(spark, path):
+            raise FileExistsError(path)
+    for path, df in zip(paths, artifacts.values(), strict=True):
+        df.write.parquet(path)
+    return paths
+
+
 def exclusions(angles_deg: np.ndarray, nearest: int = 0, px: tuple[float, float] | None = None, deg: float = 0.0) -> list[np.ndarray]:
     """For each frame the mask of those left out of its reference: within `nearest` places, within px = (radius, distance) of
     rotation at that radius, else within deg of angle; any of them suffices. ValueError if a frame's are not contiguous."""

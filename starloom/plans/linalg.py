@@ -84,12 +84,27 @@ def mapped(se: DataFrame, work, column: str = "ts") -> DataFrame:
     return se.mapInPandas(run, fields)
 
 
-def centred(se: DataFrame) -> DataFrame:
-    """Each pixel's series less its mean over all frames; missing values stay."""
+def mapped_both(se: DataFrame, work, columns: tuple[str, str]) -> DataFrame:
+    """se with two array columns replaced by the rows of the two matrices that work gives for theirs."""
+    fields = se.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            if len(df):
+                for c, m in zip(columns, work(*(stack(df[c]) for c in columns)), strict=True):
+                    df[c] = list(m)
+            yield df
+
+    return se.mapInPandas(run, fields)
+
+
+def centred(se: DataFrame, *more: str) -> DataFrame:
+    """Each pixel's series, and those of the columns `more`, less its mean over all frames; missing values stay."""
     there = F.filter("ts", lambda v: v.isNotNull())
     mean = F.aggregate(there, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(there), F.lit(0))
     # The mean is bound as an element, once a series: a column of it would be put in, and summed again, for every value.
-    return se.withColumn("ts", F.element_at(F.transform(F.array(mean), lambda m: F.transform("ts", lambda v: v - m)), 1))
+    less = lambda c: F.element_at(F.transform(F.array(mean), lambda m: F.transform(c, lambda v: v - m)), 1)
+    return se.withColumns({c: less(c) for c in ("ts", *more)})
 
 
 def top(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,13 +190,37 @@ def klip(se: DataFrame, k: int, exclusions: list[np.ndarray] | None = None, rank
     return mapped(x, lambda m: m - m @ w)
 
 
-def klip_transpose(se: DataFrame, k: int, reference=None) -> DataFrame:
+def klip_probed(se: DataFrame, model: str, k: int, exclusions: list[np.ndarray] | None = None) -> DataFrame:
+    """klip() of the images and of a probe beside them: the column `model`, less the images' mean, loses what it has of the
+    images' own modes."""
+    x = centred(se, model)
+    g, cross = gram(x), gram(x, "ts", model)
+    if exclusions:
+        masks = np.array(exclusions)
+
+        def column(i, m, right, out):
+            keep = np.flatnonzero(~out[i])
+            val, vec = top(m[np.ix_(keep, keep)], k)
+            w = np.zeros(len(m))
+            w[keep] = vec @ ((vec.T @ right[keep, i]) / val)
+            return w
+
+        w = exclusion_weights(se.sparkSession, g, k, exclusions)
+        probe = by_frame(se.sparkSession, len(g), (g, cross, masks), column)
+    else:
+        val, vec = top(g, k)
+        w, probe = vec @ ((vec.T @ g) / val[:, None]), vec @ ((vec.T @ cross) / val[:, None])
+    return mapped_both(x, lambda m, p: (m - m @ w, p - m @ probe), ("ts", model))
+
+
+def klip_transpose(se: DataFrame, k: int, reference=None, model: str | None = None) -> DataFrame:
     """Residuals of pixel-wise projection on the k main time series of the reference pixels (all by default), each scaled to
-    unit spread; frame medians are to be taken off before."""
+    unit spread; frame medians are to be taken off before. The series of the column `model`, if it is named, lose theirs too."""
     ref = se if reference is None else se.where(reference)
     spread = lambda m: m / np.maximum(m.std(axis=1, keepdims=True), 1e-300)
     _, v = top(gram(mapped(ref, spread)), k)
-    return mapped(se, lambda m: m - (m @ v) @ v.T)
+    left = lambda m: m - (m @ v) @ v.T
+    return mapped_both(se, lambda m, p: (left(m), left(p)), ("ts", model)) if model else mapped(se, left)
 
 
 def klip_subspace(se: DataFrame, k: int) -> DataFrame:
@@ -190,17 +229,36 @@ def klip_subspace(se: DataFrame, k: int) -> DataFrame:
     return mapped(se, lambda m: m - (m @ v) @ v.T)
 
 
-def dmd(se: DataFrame, k: int) -> DataFrame:
-    """Residuals of a linear dynamical model of rank k: modes of the map from each frame to the next, fitted to all frames."""
+def dmd(se: DataFrame, k: int, first: np.ndarray | None = None, second: np.ndarray | None = None, fitted: np.ndarray | None = None) -> DataFrame:
+    """Residuals of a linear dynamical model of rank k: modes of the map from frames `first` to frames `second` (by default from
+    each to the next), fitted to the frames `fitted` (all), which are the places of the result."""
     g = gram(se)
-    val, v = top(g[:-1, :-1], k)
+    n = len(g)
+    first, second = (np.arange(n - 1), np.arange(1, n)) if first is None else (first, second)
+    fitted = np.arange(n) if fitted is None else fitted
+    val, v = top(g[np.ix_(first, first)], k)
     s = np.sqrt(val)
-    step = np.diag(1 / s) @ v.T @ g[:-1, 1:] @ v @ np.diag(1 / s)
+    step = np.diag(1 / s) @ v.T @ g[np.ix_(first, second)] @ v @ np.diag(1 / s)
     _, vec = np.linalg.eig(step)
-    b = v @ np.diag(1 / s) @ vec  # modes are X[:, 1:] b
-    inner = b.conj().T @ g[1:, 1:] @ b
-    fit = b @ np.linalg.pinv(inner) @ b.conj().T @ g[1:, :]
-    return mapped(se, lambda m: m - (m[:, 1:] @ fit).real)
+    b = v @ np.diag(1 / s) @ vec  # modes are X[:, second] b
+    inner = b.conj().T @ g[np.ix_(second, second)] @ b
+    fit = b @ np.linalg.pinv(inner) @ b.conj().T @ g[np.ix_(second, fitted)]
+    return mapped(se, lambda m: m[:, fitted] - (m[:, second] @ fit).real)
+
+
+def pair_halves(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of frames 2j, 2j + 1 with an even j, and of those with an odd j; a last single frame is in neither."""
+    start = 2 * np.arange(n // 2)
+    both = lambda at: np.stack([at, at + 1], 1).ravel()
+    return both(start[::2]), both(start[1::2])
+
+
+def dmd_halves(se: DataFrame, k: int, both: bool = False) -> list[tuple[np.ndarray, DataFrame]]:
+    """(places, residuals) of the odd pairs of frames by modes of the even pairs; with `both`, also the other way round."""
+    n = se.agg(F.max(F.size("ts"))).first()[0] or 0
+    train, test = pair_halves(n)
+    ways = [(train, test), (test, train)] if both else [(train, test)]
+    return [(out, dmd(se, k, basis[::2], basis[1::2], out)) for basis, out in ways]
 
 
 @dataclass
@@ -208,37 +266,53 @@ class TrapResult:
     coefficient: float
     background: float
     residual: float
+    backgrounds: tuple[float, ...]
+    basis: np.ndarray
 
 
-def trap(se: DataFrame, model: str, k: int, damp: float = 1e-8, reference=None) -> TrapResult:
-    """Joint fit of each pixel's k temporal modes, one constant background series and the planet model (array column).
+def trap(se: DataFrame, model: str, k: int, damp: float = 1e-8, reference=None, split=None, basis: np.ndarray | None = None) -> TrapResult:
+    """Joint fit of each pixel's k temporal modes, constant background series and the planet model (array column).
 
-    The pixel blocks are eliminated: y, background and model less their projections on the modes, then one aggregation to a
-    system of two unknowns.
+    One background for all pixels, or with the condition `split` one for those that satisfy it and one for the others. The modes
+    are those of the reference pixels, or a basis (frames x k) of an earlier fit. The pixel blocks are eliminated: y, backgrounds
+    and model less their projections on the modes, then one aggregation to a system of two or three unknowns.
     """
-    ref = se if reference is None else se.where(reference)
-    _, v = top(gram(ref), k)
-    share = 1 / (1 + damp * damp)
+    if basis is None:
+        _, basis = top(gram(se if reference is None else se.where(reference)), k)
+    v, share, n = basis, 1 / (1 + damp * damp), 3 if split is None else 4
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((3, 3))
+        total = np.zeros((n, n))
         for df in batches:
             if len(df):
-                y, m = stack(df["ts"]), stack(df["m"])
-                c = np.ones_like(y)
-                off = [a - share * (a @ v) @ v.T for a in (m, c, y)]
-                raw = [m, c, y]
+                y, m, in_first = stack(df["ts"]), stack(df["m"]), df["s"].to_numpy(bool)[:, None]
+                raw = [m, *_backgrounds(in_first, y, n), y]
+                off = [a - share * (a @ v) @ v.T for a in raw]
                 total += np.array([[(a * b).sum() for b in off] for a in raw])
-        yield pd.DataFrame({"i": range(9), "g": total.ravel()})
+        yield pd.DataFrame({"i": range(n * n), "g": total.ravel()})
 
-    got = se.select("ts", F.col(model).alias("m")).mapInPandas(part, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
-    t = np.zeros(9)
+    rows = se.select("ts", F.col(model).alias("m"), (F.lit(True) if split is None else F.coalesce(split, F.lit(False))).alias("s"))
+    got = rows.mapInPandas(part, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()  # n * n rows
+    t = np.zeros(n * n)
     for r in got:
         t[r["i"]] = r["g"]
-    t = t.reshape(3, 3)
-    a = t[:2, :2] + damp * damp * np.eye(2)
-    x, *_ = np.linalg.lstsq(a, t[:2, 2], rcond=None)
-    return TrapResult(float(x[0]), float(x[1]), float(t[2, 2] - x @ t[:2, 2]))
+    t = t.reshape(n, n)
+    x, *_ = np.linalg.lstsq(t[:-1, :-1] + damp * damp * np.eye(n - 1), t[:-1, -1], rcond=None)
+    return TrapResult(float(x[0]), float(x[1]), float(t[-1, -1] - x @ t[:-1, -1]), tuple(map(float, x[1:])), v)
+
+
+def _backgrounds(in_first: np.ndarray, like: np.ndarray, n: int) -> list[np.ndarray]:
+    one = np.ones_like(like)
+    return [one] if n == 3 else [one * in_first, one * ~in_first]
+
+
+def trap_residuals(se: DataFrame, model: str, found: TrapResult, split=None, damp: float = 1e-8) -> DataFrame:
+    """The series less the fitted backgrounds and modes, and less the model times its coefficient."""
+    v, share = found.basis, 1 / (1 + damp * damp)
+    first, other = found.backgrounds[0], found.backgrounds[-1]
+    inside = F.lit(True) if split is None else F.coalesce(split, F.lit(False))
+    off = F.zip_with("ts", model, lambda y, m: y - F.lit(found.coefficient) * m - F.when(inside, F.lit(first)).otherwise(F.lit(other)))
+    return mapped(se.withColumn("ts", off), lambda m: m - share * (m @ v) @ v.T)
 
 
 def sky_components(se: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -280,6 +354,11 @@ def sky_subtracted(px: DataFrame, components: DataFrame, mean: DataFrame, k: int
     return left.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("frame_idx", "ext")))
 
 
+def max_rank(px: DataFrame) -> DataFrame:
+    """(rank): the most modes there can be, the lesser of the numbers of pixels and of frames."""
+    return px.agg(F.least(F.countDistinct("ext", "y", "x"), F.countDistinct("frame_idx")).alias("rank"))
+
+
 def modes(spec, rank: int) -> list[int]:
     """Mode counts below the rank: numbers as given, shares as max(int(share * rank), 1)."""
     out = [max(int(x * rank), 1) if isinstance(x, float) and x < 1 else int(x) for x in spec]

@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.operators import selection
+
 BLOCK, CARD = 2880, 80
 DTYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 TABLE = {"L": ("?", 1), "B": (">u1", 1), "I": (">i2", 2), "J": (">i4", 4), "K": (">i8", 8), "E": (">f4", 4), "D": (">f8", 8), "A": ("S", 1)}
@@ -81,18 +83,51 @@ def units(data: bytes) -> Iterator[tuple[dict, str, list[int], np.ndarray | None
         at = start + -(-size // BLOCK) * BLOCK
 
 
-def read(spark: SparkSession, path: str, every: int = 1) -> DataFrame:
-    """A row for each unit of the files at a path or glob; with `every`, of each so-manieth file in order of the path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def exists(spark: SparkSession, *paths: str) -> bool:
+    """Whether any of the paths is there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return any((p := hadoop(path)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for path in paths)
+
+
+def inputs(spark: SparkSession, path: str, every: int = 1, extensions: tuple[str, ...] = ("fit", "fits")) -> DataFrame:
+    """(path, content) of the files of a glob, of a directory those with the extensions, or of one file; each so-manieth in order of
+    the path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.read.format("binaryFile")
+    if "*" not in path and at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
+    files = reader.load(path).select("path", "content")
     if every > 1:
-        names = sorted(r[0] for r in files.select("path").collect())[::every]
-        files = files.where(F.col("path").isin(names))
+        names = selection.numbered(files.select("path"), "path").where(F.col("frame_idx") % every == 0).select("path")
+        files = files.join(F.broadcast(names), "path", "left_semi")  # paths: the driver's listing holds them all as it is
+    return files
+
+
+def joined(folder: Column, name: Column) -> Column:
+    """A path or URL and a name below it."""
+    return F.concat(F.rtrim(folder, F.lit("/")), F.lit("/"), name)
+
+
+def basename(path: Column) -> Column:
+    """The last part of a path or URL."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def read(spark: SparkSession, path: str, every: int = 1) -> DataFrame:
+    """A row for each unit of the files of inputs(). A file that can't be read is named in the error."""
+    files = inputs(spark, path, every)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for name, content in zip(df["path"], df["content"], strict=True):
                 rows = []
-                for k, (head, kind, shape, arr) in enumerate(units(bytes(content))):
+                try:
+                    parts = list(units(bytes(content)))
+                    if not parts:
+                        raise ValueError("no units")
+                except Exception as e:
+                    raise ValueError(f"{name} is no readable FITS file") from e
+                for k, (head, kind, shape, arr) in enumerate(parts):
                     table = None
                     if kind == "bintable":
                         table = pd.DataFrame({c: [x.decode().rstrip("\0 ") if isinstance(x, bytes) else x for x in arr[c].tolist()] for c in arr.dtype.names}).to_json(orient="records")

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators import datasets, filters, resample
+from starloom.model import pixels
+from starloom.operators import datasets, filters, registration, resample
+from starloom.operators.selection import Box
 from starloom.plans import commands
 
 
@@ -90,3 +92,61 @@ def test_dataset_edges(spark):
     assert [r["pix"] for r in got] == [[9.0], [2.0]] and got[0]["header"] == {"A": "3"} and (got[1]["header"] or {}) in ({"B": "2"}, {})
     px = image(spark, np.ones((2, 2)))
     assert datasets.extension_mean(px.limit(0)).count() == 0
+
+
+def frame(spark, arrays):
+    ny, nx = arrays[0].shape
+    rows = [(k, 0, ny, nx, [None if np.isnan(v) else float(v) for v in a.ravel()]) for k, a in enumerate(arrays)]
+    return spark.createDataFrame(rows, "frame_idx long, ext int, ny int, nx int, pix array<double>")
+
+
+@pytest.mark.parametrize("shape", [(9, 9), (17, 15), (7, 21)])
+def test_cutouts_lie_as_the_template_does(spark, shape):
+    """Templates smaller and larger than the search box, and a missing pixel."""
+    h, w = shape
+    template = resample.gauss2d(h, w, (h - 1) / 2, (w - 1) / 2, 1.5, 1.5)
+    img = resample.gauss2d(40, 40, 21.4, 18.7, 1.5, 1.5)
+    img[3, 3] = np.nan
+    got = registration.cutouts(frame(spark, [img]), template, Box(14, 11, 13, 13)).first()
+    assert (got["ny"], got["nx"]) == shape
+    middle = np.array(got["pix"]).reshape(shape)
+    y, x = np.mgrid[:h, :w]
+    assert abs((y * middle).sum() / middle.sum() - (h - 1) / 2) < 0.1 and abs((x * middle).sum() / middle.sum() - (w - 1) / 2) < 0.1
+
+
+def test_frames_are_centred(spark):
+    img = resample.gauss2d(30, 30, 12.25, 17.5, 1.5, 1.5)
+    centres = spark.createDataFrame([(0, 12.25, 17.5)], "frame_idx long, cy double, cx double")
+    got = np.array(registration.centred_frames(frame(spark, [img]), centres, 15, 15).first()["pix"]).reshape(15, 15)
+    assert np.abs(got - resample.gauss2d(15, 15, 7, 7, 1.5, 1.5)).max() < 0.02
+
+
+def test_loaded_signals(spark):
+    template = resample.gauss2d(5, 5, 2, 2, 1.0, 1.0)
+    sky = [np.full((21, 21), float(k)) for k in range(4)]
+    got = commands.loaded(frame(spark, sky), F.lit(0.0), template, [(6.0, 0.0, 3.0), (6.0, 180.0, 0.0)], F.lit(2.0), size=2)
+    model, image = (values(got.where((F.col("kind") == kind) & (F.col("frame_idx") == 1)), 21, 21) for kind in ("model", "image"))
+    # Position angle 0 is up: 6 pixels from the centre in y; the second companion is in the model alone.
+    assert np.isclose(model[16, 10], 2.0) and np.isclose(model[4, 10], 2.0)
+    assert np.isclose(image[16, 10], 2.5 + 6.0) and np.isclose(image[4, 10], 2.5)
+    with pytest.raises(ValueError, match="missing"):
+        commands.loaded(frame(spark, sky), F.lit(0.0), np.full((3, 3), np.nan), [(6.0, 0.0, 1.0)])
+
+
+def test_stacked_components_are_derotated(spark):
+    arr, mask = np.zeros((9, 9)), [(y, x) for y in range(9) for x in range(9) if x > 2]
+    arr[4, 7] = 1.0
+    inside = spark.createDataFrame(mask, "y int, x int")
+    got = commands.components_stacked([(frame(spark, [arr, arr]), inside, 2.0, F.lit(90.0), 0)]).collect()
+    at = {(r["y"], r["x"]): r for r in got}
+    assert np.isclose(at[7, 4]["v"], 4.0) and np.isclose(at[7, 4]["coverage"], 2.0) and np.isclose(at[0, 4]["coverage"], 0.0)
+    assert pixels(frame(spark, [arr])).count() == 81
+
+
+def test_saved_refuses_what_is_there(spark, tmp_path):
+    df = spark.range(3)
+    paths = commands.saved(spark, {"residuals": df, "coverage": df}, f"{tmp_path}/out")
+    assert [spark.read.parquet(p).count() for p in paths] == [3, 3]
+    with pytest.raises(FileExistsError):
+        commands.saved(spark, {"new": df, "coverage": df}, f"{tmp_path}/out")
+    assert not (tmp_path / "out/new").exists()

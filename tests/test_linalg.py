@@ -64,6 +64,45 @@ def test_dmd(se, x):
     assert np.allclose(matrix(linalg.dmd(se, 3)), (x - phi @ np.linalg.pinv(phi) @ x).real, atol=1e-6)
 
 
+def test_dmd_of_pair_halves(se, x):
+    a, b = x[:, 0:NF:4], x[:, 1:NF:4]
+    u, s, vt = np.linalg.svd(a[:, : b.shape[1]], full_matrices=False)
+    u, s, vt = u[:, :2], s[:2], vt[:2]
+    _, w = np.linalg.eig(u.T @ b @ vt.T / s)
+    phi = b @ vt.T / s @ w
+    (places, left), (again, _) = linalg.dmd_halves(se, 2, both=True)
+    assert places.tolist() == [2, 3, 6, 7, 10, 11] and again.tolist() == [0, 1, 4, 5, 8, 9, 12, 13]
+    assert np.allclose(matrix(left), (x[:, places] - phi @ np.linalg.pinv(phi) @ x[:, places]).real, atol=1e-6)
+
+
+def test_probes_beside_the_images(spark, x):
+    p = np.random.default_rng(5).random((P, NF))
+    df = spark.createDataFrame([(0, k // 8, k % 8, x[k].tolist(), p[k].tolist()) for k in range(P)], "ext int, y int, x int, ts array<double>, model array<double>").repartition(3)
+    mean = x.mean(axis=1, keepdims=True)
+    models = lambda t: np.array([r["model"] for r in sorted(t.collect(), key=lambda r: (r["y"], r["x"]))])
+    u, _, _ = np.linalg.svd(x - mean, full_matrices=False)
+    got = linalg.klip_probed(df, "model", 3)
+    assert np.allclose(matrix(got), (x - mean) - u[:, :3] @ u[:, :3].T @ (x - mean)) and np.allclose(models(got), (p - mean) - u[:, :3] @ u[:, :3].T @ (p - mean))
+    out, want = linalg.excluded(np.arange(NF), 1), np.empty_like(p)
+    for i in range(NF):
+        u, _, _ = np.linalg.svd((x - mean)[:, ~out[i]], full_matrices=False)
+        want[:, i] = (p - mean)[:, i] - u[:, :3] @ (u[:, :3].T @ (p - mean)[:, i])
+    assert np.allclose(models(linalg.klip_probed(df, "model", 3, out)), want)
+    _, _, vt = np.linalg.svd(x / x.std(axis=1, keepdims=True), full_matrices=False)
+    assert np.allclose(models(linalg.klip_transpose(df, 4, model="model")), p - p @ vt[:4].T @ vt[:4])
+
+
+def test_trap_with_two_backgrounds(spark, x):
+    rng = np.random.default_rng(9)
+    model, upper = rng.random((P, NF)), np.arange(P) % 8 >= 4
+    basis, _ = np.linalg.qr(rng.standard_normal((NF, 3)))
+    y = rng.standard_normal((P, 3)) @ basis.T + 0.5 * model + np.where(upper, 2.0, -1.0)[:, None]
+    df = spark.createDataFrame([(0, k // 8, k % 8, y[k].tolist(), model[k].tolist()) for k in range(P)], "ext int, y int, x int, ts array<double>, model array<double>")
+    got = linalg.trap(df, "model", 3, basis=basis, split=F.col("x") >= 4)
+    assert np.allclose([got.coefficient, *got.backgrounds], [0.5, 2.0, -1.0]) and got.residual < 1e-8
+    assert np.abs(matrix(linalg.trap_residuals(df, "model", got, F.col("x") >= 4))).max() < 1e-6
+
+
 def test_trap_finds_the_planted_signal(spark, x):
     rng = np.random.default_rng(8)
     model = np.where(rng.random((P, NF)) < 0.2, rng.random((P, NF)), 0)

@@ -56,3 +56,14 @@ def test_streams(spark, tmp_path):
     q = chunks.greedy(chunks.source(spark, f"{tmp_path}/px", px.schema, 9), "x", "v", 4).writeStream.outputMode("append").format("memory").queryName("greedy").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("greedy").collect()) == [(k, c, 4, m) for k in (0, 1) for c, m in ((0, 1.5), (1, 5.5))]
+
+
+def test_inputs_of_a_directory(spark, tmp_path):
+    for name in ("b.fits", "a.fit", "c.fits", "d.txt"):
+        (tmp_path / name).write_bytes(fits.unit(np.ones((2, 2)), {"KW": name}) if name != "d.txt" else b"no")
+    names = lambda df: sorted(r[0].rsplit("/", 1)[1] for r in df.select("path").collect())
+    assert names(fits.inputs(spark, str(tmp_path))) == ["a.fit", "b.fits", "c.fits"]
+    assert names(fits.inputs(spark, str(tmp_path), 2)) == ["a.fit", "c.fits"]
+    assert sorted(r["header"]["KW"] for r in fits.read(spark, f"{tmp_path}/*.fits").collect()) == ["b.fits", "c.fits"]
+    with pytest.raises(Exception, match="d.txt"):
+        fits.read(spark, f"{tmp_path}/d.txt").collect()
