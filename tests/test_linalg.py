@@ -193,3 +193,74 @@ def test_queries_on_all_frames(spark, monkeypatch):
         assert query(spark, "/root/testdata/sf0.001").count()
     n = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
     assert [len(se.first()["ts"]) for se in seen] == [n, n]
+
+
+@pytest.fixture(scope="module")
+def long(spark):
+    """More frames than pixels, as series with a probe beside them."""
+    rng = np.random.default_rng(21)
+    p, n = 12, 70
+    x = rng.standard_normal((p, 4)) @ rng.standard_normal((4, n)) * 3 + rng.standard_normal((p, n))
+    probe = rng.random((p, n))
+    rows = [(0, k // 8, k % 8, x[k].tolist(), probe[k].tolist()) for k in range(p)]
+    return spark.createDataFrame(rows, "ext int, y int, x int, ts array<double>, model array<double>").repartition(3), x, probe
+
+
+@pytest.fixture
+def few(monkeypatch):
+    """Fewer frames than the cube has are too many for the driver; blocks of frames are small."""
+    monkeypatch.setattr(linalg, "MAX_FRAMES", 30)
+    monkeypatch.setattr(linalg, "BLOCK", 12 * 9)
+
+
+def test_subspaces_of_more_frames_than_a_gram_matrix_takes(long, few):
+    df, x, _ = long
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(matrix(linalg.klip_subspace(df, 4)), x - u[:, :4] * s[:4] @ vt[:4])
+    c = x - x.mean(axis=1, keepdims=True)
+    uc, sc, _ = np.linalg.svd(c, full_matrices=False)
+    assert np.allclose(matrix(linalg.klip(df, 3)), c - uc[:, :3] @ uc[:, :3].T @ c)
+    parts, found = linalg.sky_components(df, 3)
+    assert np.allclose(found, sc[:3]) and np.allclose(np.abs(matrix(parts)), np.abs(uc[:, :3]))
+    _, _, vt = np.linalg.svd(x / x.std(axis=1, keepdims=True), full_matrices=False)
+    assert np.allclose(matrix(linalg.klip_transpose(df, 4)), x - x @ vt[:4].T @ vt[:4])
+
+
+@pytest.mark.parametrize("kind", ["places", "angles", "masks", "wide"])
+def test_exclusions_of_more_frames_than_a_gram_matrix_takes(long, few, kind):
+    df, x, probe = long
+    n, rng = x.shape[1], np.random.default_rng(3)
+    values = {"places": np.arange(n), "angles": rng.random(n) * 40, "wide": rng.random(n) * 8}.get(kind)
+    out = linalg.excluded(values, 2) if values is not None else [(rng.random(n) < 0.3) | (np.arange(n) == i) for i in range(n)]
+    if values is not None:
+        assert all((out[i] == (np.abs(values - values[i]) <= 2)).all() for i in range(n))
+    c, p = x - x.mean(axis=1, keepdims=True), probe - x.mean(axis=1, keepdims=True)
+    want, beside = np.empty_like(c), np.empty_like(c)
+    for i in range(n):
+        u = np.linalg.svd(c[:, ~out[i]], full_matrices=False)[0][:, :3]
+        want[:, i], beside[:, i] = c[:, i] - u @ (u.T @ c[:, i]), p[:, i] - u @ (u.T @ p[:, i])
+    assert np.allclose(matrix(linalg.klip(df, 3, out)), want)
+    assert np.allclose(matrix(linalg.klip(df, 3, out, rank=n)), want)
+    got = linalg.klip_probed(df, "model", 3, out)
+    assert got.columns == df.columns and np.allclose(matrix(got), want)
+    assert np.allclose([r["model"] for r in sorted(got.collect(), key=lambda r: (r["y"], r["x"]))], beside)
+
+
+def test_dmd_of_more_frames_than_a_gram_matrix_takes(long, few):
+    df, x, _ = long
+    for first, second, fitted, got in (
+        (np.arange(69), np.arange(1, 70), np.arange(70), linalg.dmd(df, 3)),
+        (np.arange(0, 70, 4)[:17], np.arange(1, 70, 4)[:17], np.sort(np.r_[2:70:4, 3:70:4]), linalg.dmd_halves(df, 3)[0][1]),
+    ):
+        first, second = (first, second) if len(first) == 69 else (np.arange(0, 70, 4), np.arange(1, 70, 4))
+        u, s, vt = np.linalg.svd(x[:, first], full_matrices=False)
+        u, s, vt = u[:, :3], s[:3], vt[:3]
+        _, w = np.linalg.eig(u.T @ x[:, second] @ vt.T / s)
+        phi = x[:, second] @ vt.T / s @ w
+        assert np.allclose(matrix(got), (x[:, fitted] - phi @ np.linalg.pinv(phi) @ x[:, fitted]).real, atol=1e-6)
+
+
+def test_too_many_of_both_are_refused(long, monkeypatch):
+    monkeypatch.setattr(linalg, "MAX_FRAMES", 5)
+    with pytest.raises(ValueError, match="more than 5 frames"):
+        linalg.klip(long[0], 3)
