@@ -97,7 +97,7 @@ def trap_two_backgrounds(spark, d):
     level = F.when(F.col("y") >= 4, F.lit(3.0)).otherwise(F.lit(-1.0))
     se = linalg.centred(cube(spark, d)).withColumn("model", wave)
     inside = se.where("x >= 6").withColumn("ts", F.transform("model", lambda m: m * 2.0 + level))
-    basis = linalg.top(linalg.gram(se.where("x < 6")), 3)[1]
+    basis = linalg.main_modes(se.where("x < 6"), 3)[1]
     t = linalg.trap(inside, "model", 3, basis=basis, split=F.col("y") >= 4)
     names = ("coefficient", "first", "other")
     return spark.range(1).select(*(F.lit(round(v, 4)).alias(n) for n, v in zip(names, (t.coefficient, *t.backgrounds), strict=True)))
