@@ -12,15 +12,14 @@ from starloom.plans import linalg
 
 
 def residuals(fr: DataFrame, ks: list[int], ny: int, nx: int) -> DataFrame:
-    """frames of the residuals for each mode count (`k`): one Gram matrix for all of them."""
+    """frames of the residuals for each mode count (`k`): one decomposition for all of them."""
     se = linalg.centred(series(pixels(fr)))
-    g = linalg.gram(se)
-    order = fr.select("frame_idx").orderBy("frame_idx").toPandas()["frame_idx"].tolist()  # as many as the Gram matrix has rows
+    _, v = linalg.main_modes(se, max(ks, default=0))
+    order = fr.select("frame_idx").orderBy("frame_idx").toPandas()["frame_idx"].tolist()  # as many as a mode has values
     place = fr.sparkSession.createDataFrame(list(enumerate(order)), "i int, frame_idx long")
     out = None
     for k in ks:
-        w = linalg.klip_weights(g, k)
-        left = unseries(linalg.mapped(se, lambda m, w=w: m - m @ w)).join(F.broadcast(place), "i").select("frame_idx", "ext", "y", "x", "v")  # at most MAX_FRAMES rows
+        left = unseries(linalg.mapped(se, lambda m, w=v[:, :k]: m - (m @ w) @ w.T)).join(F.broadcast(place), "i").select("frame_idx", "ext", "y", "x", "v")  # a row a frame
         one = repacked(left, ny, nx).withColumn("k", F.lit(k))
         out = one if out is None else out.unionByName(one)
     return out
