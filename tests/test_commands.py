@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starloom.model import pixels
-from starloom.operators import datasets, filters, registration, resample
+from starloom.operators import datasets, filters, registration, resample, selection
 from starloom.operators.selection import Box
 from starloom.plans import commands
 
@@ -150,3 +150,40 @@ def test_saved_refuses_what_is_there(spark, tmp_path):
     with pytest.raises(FileExistsError):
         commands.saved(spark, {"new": df, "coverage": df}, f"{tmp_path}/out")
     assert not (tmp_path / "out/new").exists()
+
+
+def test_numbered_over_many_partitions(spark, tmp_path, monkeypatch):
+    """Rows whose counts by partition were taken in another run than the rows themselves."""
+    n = 60_000
+    monkeypatch.setattr(selection, "RANGE_ROWS", 7_000, raising=False)
+    at = (F.col("id") * 7919) % n
+    log = spark.range(n).select(F.when(at >= 100, F.format_string("%08d", F.floor(at / 3))).alias("at"), at.alias("key"), F.sha2(F.col("id").cast("string"), 512).alias("more"))
+    log.repartition(6).write.parquet(f"{tmp_path}/log")
+    got = selection.numbered(spark.read.parquet(f"{tmp_path}/log"), "at", "key").toPandas()
+    assert len(got) == n and (got["frame_idx"] == got["key"]).all()
+
+
+def test_filled_over_shared_and_empty_frames(spark):
+    """Windows of frames of several shapes in one batch, without the join of all pixels' neighbours; a frame without extension has none."""
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for f, (ext, y0, ny, nx) in enumerate([(0, 0, 5, 4), (1, -3, 3, 9), (None, 0, 3, 3), (0, 0, 2, 2), (2, 1_000_000, 4, 4)]):
+        img = np.where(rng.random((ny, nx)) < 0.4, np.nan, rng.random((ny, nx)))
+        if f == 3:
+            img[:] = np.nan
+        for y, x in np.ndindex(ny, nx):
+            if (y, x) == (1, 1) and f == 1:
+                continue  # no such pixel
+            rows.append((f, ext, y0 + y, x, None if np.isnan(img[y, x]) else float(img[y, x])))
+        if f == 1:
+            img[1, 1] = np.nan
+        for r in [r for r in rows if r[0] == f]:
+            y = r[2] - y0
+            near = img[max(y - 1, 0) : y + 3, max(r[3] - 1, 0) : r[3] + 3]
+            near = near[~np.isnan(near)] if ext is not None else near[:0, :0]
+            want[f, r[2], r[3]] = r[4] if r[4] is not None else near.mean() if near.size else 0.0
+    px = spark.createDataFrame(rows, "frame_idx long, ext int, y int, x int, v double").repartition(3)
+    got = resample.filled(px)
+    assert got.schema.simpleString() == px.schema.simpleString() and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r["frame_idx"], r["y"], r["x"]): r["v"] for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
