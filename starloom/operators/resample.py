@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,13 +138,47 @@ def phase_shift(ref: np.ndarray, img: np.ndarray, upsample: int = 100, whiten: b
 
 
 def filled(px: DataFrame) -> DataFrame:
-    """Missing pixels as the mean of those there in the window of offsets -1 to 2 in y and x; 0 where none is."""
-    near = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.struct((F.col("y") - (k / 4).cast("int") + 1).alias("y"), (F.col("x") - k % 4 + 1).alias("x")))
-    # From each pixel that is there to those in whose window it is.
-    gone = px.where("v is null").select("frame_idx", "ext", "y", "x")
-    wide = px.where("v is not null").withColumn("_n", F.explode(near)).select("frame_idx", "ext", F.col("_n.y").cast("int").alias("y"), F.col("_n.x").cast("int").alias("x"), "v")
-    mean = gone.join(wide, ["frame_idx", "ext", "y", "x"], "left").groupBy("frame_idx", "ext", "y", "x").agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("v"))
-    return px.where("v is not null").unionByName(mean)
+    """Missing pixels as the mean of those there in the window of offsets -1 to 2 in y and x; 0 where none is, as in frames of no
+    number or extension. A frame is a row in between: neighbours are looked up where its pixels lie."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for whole, ys, xs, vs in zip(df["whole"], df["y"], df["x"], df["v"], strict=True):
+                y, x, v = np.asarray(ys, np.int64), np.asarray(xs, np.int64), np.array(vs, float)
+                gone = np.isnan(v)
+                at = np.flatnonzero(gone)
+                total, n = np.zeros(len(at)), np.zeros(len(at), int)
+                if whole and len(at) and not gone.all():
+                    # Places of pixels as numbers: with four columns to spare a row's neighbours aren't those of another.
+                    width = x.max() - x.min() + 4
+                    place = lambda y, x: (y - ys_min) * width + (x - xs_min)  # noqa: E731, B023
+                    ys_min, xs_min = y.min(), x.min()
+                    here = np.flatnonzero(~gone)
+                    here = here[np.argsort(place(y[here], x[here]), kind="stable")]
+                    line = place(y[here], x[here])
+                    sums = np.concatenate([[0.0], np.cumsum(v[here])]) if len(np.unique(line)) < len(line) else None
+                    for dy in range(-1, 3):
+                        for dx in range(-1, 3):
+                            want = place(y[at] + dy, x[at] + dx)
+                            lo = np.searchsorted(line, want)
+                            if sums is not None:  # a pixel more than once
+                                hi = np.searchsorted(line, want, "right")
+                                total, n = total + sums[hi] - sums[lo], n + hi - lo
+                            else:
+                                hit = line[np.minimum(lo, len(line) - 1)] == want
+                                total, n = total + np.where(hit, v[here[np.minimum(lo, len(line) - 1)]], 0.0), n + hit
+                v[at] = total / np.maximum(n, 1)
+                out.append(v)
+            yield df[["frame_idx", "ext", "y", "x"]].assign(v=out)
+
+    kinds = dict(px.dtypes)
+    listed = px.groupBy("frame_idx", "ext").agg(F.collect_list(F.struct("y", "x", "v")).alias("p"))
+    whole = F.col("frame_idx").isNotNull() & F.col("ext").isNotNull()
+    # Frames' own columns go beside the arrays, untouched.
+    rows = listed.select("frame_idx", "ext", whole.alias("whole"), F.col("p.y").alias("y"), F.col("p.x").alias("x"), F.col("p.v").alias("v"))
+    done = rows.mapInPandas(run, f"frame_idx {kinds['frame_idx']}, ext {kinds['ext']}, y array<{kinds['y']}>, x array<{kinds['x']}>, v array<double>")
+    return done.select("frame_idx", "ext", F.explode(F.arrays_zip("y", "x", "v")).alias("p")).select("frame_idx", "ext", "p.y", "p.x", F.col("p.v").alias("v"))
 
 
 def gauss2d(ny: int, nx: int, yc: float, xc: float, sy: float, sx: float) -> np.ndarray:
