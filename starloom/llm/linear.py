@@ -39,8 +39,10 @@ class Linear:
 
 @dataclass
 class Part:
-    """Some rows' n-gram shares: row, place of the feature in `used`, value."""
+    """Some rows' n-gram shares: row, counted from the first, place of the feature in `used`, value; numbers as short as they can be,
+    as all parts of a sample are held at once."""
 
+    first: int
     rows: np.ndarray
     inner: np.ndarray
     used: np.ndarray
@@ -49,30 +51,49 @@ class Part:
     @classmethod
     def of(cls, rows, features, vals) -> Part:
         used, inner = np.unique(features, return_inverse=True)
-        return cls(rows.astype(np.int32), inner.astype(np.int32), used.astype(np.int32), vals.astype(np.float32))
+        first = int(rows.min()) if len(rows) else 0
+        return cls(first, short(rows - first), short(inner), used.astype(np.int32), vals.astype(np.float32))
 
     def shifted(self, by: int) -> Part:
-        return Part(self.rows + np.int32(by), self.inner, self.used, self.vals)
+        return Part(self.first + by, self.rows, self.inner, self.used, self.vals)
+
+
+def short(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in the shortest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 def sparse(texts: list[str], bits: int) -> list[Part]:
     """The texts' n-gram shares, each pair of text and feature once, in parts of 64 texts and one kind."""
     parts = []
     for at in range(0, len(texts), 64):
-        for ids, bounds in ngram_ids(Block.of(pa.array(texts[at : at + 64], pa.large_string())), bits):
-            pair, count = np.unique(owner(bounds).astype(np.int64) << 40 | ids, return_counts=True)
-            doc = pair >> 40
-            parts.append(Part.of(doc + at, pair & ((1 << 40) - 1), SCALE * count / np.maximum(np.diff(bounds), 1)[doc]))
+        kinds: dict[int, list] = {}
+        for a, b in runs(texts, at, min(at + 64, len(texts))):
+            for kind, (ids, bounds) in enumerate(ngram_ids(Block.of(pa.array(texts[a:b], pa.large_string())), bits)):
+                pair, count = np.unique(owner(bounds).astype(np.int64) << 40 | ids, return_counts=True)
+                doc = pair >> 40
+                kinds.setdefault(kind, []).append((doc + a, pair & ((1 << 40) - 1), SCALE * count / np.maximum(np.diff(bounds), 1)[doc]))
+        parts += [Part.of(*map(np.concatenate, zip(*kinds[kind], strict=True))) for kind in sorted(kinds)]
     return parts
 
 
+def runs(texts: list[str], at: int, end: int, most: int = 1 << 16) -> list[tuple[int, int]]:
+    """Texts from at to end in runs of a bounded number of characters, a longer text alone: their n-grams are held at once."""
+    out, size = [], 0
+    for k in range(at, end):
+        if out and size + len(texts[k]) <= most:
+            out[-1], size = (out[-1][0], k + 1), size + len(texts[k])
+        else:
+            out, size = [*out, (k, k + 1)], len(texts[k])
+    return out
+
+
 def margins(parts: list[Part], w: np.ndarray, b: float, n: int) -> np.ndarray:
     out = np.full(n, float(b))
     for p in parts:
         if len(p.rows):
-            low = int(p.rows.min())
-            got = np.bincount(p.rows - low, p.vals * w[p.used][p.inner])
-            out[low : low + len(got)] += got
+            got = np.bincount(p.rows, p.vals * w[p.used][p.inner])
+            out[p.first : p.first + len(got)] += got
     return out
 
 
@@ -85,7 +106,7 @@ def descend(parts: list[Part], y, weight, features: int, rounds: int, l2: float)
         err = (weight * (sigmoid(margins(parts, w, b, len(y))) - y) / total).astype(np.float32)
         g = np.float32(l2) * w
         for p in parts:
-            g[p.used] += np.bincount(p.inner, p.vals * err[p.rows], len(p.used)).astype(np.float32)
+            g[p.used] += np.bincount(p.inner, p.vals * err[p.first :][p.rows], len(p.used)).astype(np.float32)
         gb = float(err.sum(dtype=float))
         m, v = np.float32(0.9) * m + np.float32(0.1) * g, np.float32(0.99) * v + np.float32(0.01) * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb

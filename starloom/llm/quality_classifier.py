@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import labelled_sample, read, stored, tune
+from starloom.llm.common import labelled_sample, read, release, stored, tune
 from starloom.llm.linear import KINDS, Linear, Part, fit_sparse, platt, sigmoid, sparse, split
 from starloom.llm.textblock import Block, blocks
 
@@ -167,15 +167,18 @@ class Rows:
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Views:
     sample = labelled_sample(docs, labels, "quality", rows, max_bytes)
     ids = {d: int(y > 0) for d, _, y in sample}
+    del sample  # the texts come again with the other columns
     first = fetch(docs, list(ids))
     first = [r for r in first if r["doc_id"] in ids]
     text_rows, meta_rows = Rows(True), Rows(False)
     for part in (text_rows, meta_rows):
         part.add(first, [ids[r["doc_id"]] for r in first], 1.0)
     n = len(first)
+    release()
     taken, handed = set(ids), []
     for turn in range(rounds + 1):
         views = Views(text_rows.fit(n), meta_rows.fit(n), handed=tuple(handed))
+        release()
         if turn == rounds or len(set(ids.values())) < 2:
             break
         scored = stored(score(docs, views, hashed=True).select("doc_id", "p_text", "p_meta", "text_hash"), "cotrain")
@@ -197,6 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, rows: int =
                 handed.append((turn, p, y, len(more)))
     y = np.array(text_rows.y[:n], float)
     held = split(y, n)
+    text_rows = meta_rows = part = to = None
+    release()
     if n and 0 < y.mean() < 1:
         views.prior = float(np.log(y.mean() / (1 - y.mean())))
         at = np.flatnonzero(held if held.any() else np.ones(n, bool))
@@ -205,6 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, rows: int =
         views.slope, views.shift = platt(views.joint(p, q), y[at])
     elif n:
         views.prior = 0.0
+    del first
+    release()
     return views
 
 

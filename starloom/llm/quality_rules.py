@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import labelled_sample, read, tune
+from starloom.llm.common import labelled_sample, read, release, tune
 from starloom.llm.linear import Linear, fit
 from starloom.llm.textblock import SPACE, Block, blocks, owner, sums
 
@@ -80,7 +80,10 @@ def statistics(block: Block) -> dict[str, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> Linear:
     """The model of label `quality` = 1, on at most `rows` labelled documents."""
     sample = labelled_sample(docs, labels, "quality", rows, max_bytes)
-    return fit([t for _, t, _ in sample], [int(y > 0) for _, _, y in sample])
+    model = fit([t for _, t, _ in sample], [int(y > 0) for _, _, y in sample])
+    del sample
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Linear, threshold: float = MIN_PROBABILITY) -> DataFrame:

@@ -202,3 +202,20 @@ def test_small_samples_and_labels_of_one_kind(spark):
 def test_filtering_keeps_the_columns(spark, edge, labels):
     assert quality_rules.kept(edge, labels).columns == edge.columns
     assert quality_classifier.kept(edge, labels).columns == edge.columns
+
+
+def test_parts_of_a_sample_are_small():
+    """The driver holds all of a sample's shares: 7 bytes each, and the distinct features of a part."""
+    import numpy as np
+
+    from starloom.llm import linear
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho", "sigma"], 60).tolist()) for _ in range(150)]
+    parts = linear.sparse(texts, 16)
+    assert all(p.rows.nbytes + p.inner.nbytes + p.vals.nbytes <= 7 * len(p.vals) for p in parts)
+    w = rng.standard_normal(linear.KINDS << 16).astype(np.float32)
+    one = np.concatenate([linear.margins([p.shifted(3) for p in linear.sparse([t], 16)], w, 0.5, 4)[3:] for t in texts])
+    assert np.allclose(linear.margins(parts, w, 0.5, len(texts)), one, atol=1e-3)
+    shifted = linear.margins([p.shifted(5) for p in parts], w, 0.5, len(texts) + 5)
+    assert (shifted[:5] == 0.5).all() and np.array_equal(shifted[5:], linear.margins(parts, w, 0.5, len(texts)))
