@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from starloom.model import pixels, series
+from starloom.model import pixels
 from starloom.operators import maps, registration
-from starloom.plans import linalg, sky
+from starloom.plans import sky
 from starloom.plans.pixel_queries import N, fr, px, rounded
 from starloom.plans.registry import PX, query, r6
 from starloom.plans.table_queries import items
@@ -29,17 +29,17 @@ SKY = f"""{PX}, s AS (SELECT y, x, stddev_pop(v) AS s FROM px GROUP BY y, x), q
 def background_mask(spark, d):
     p = px(spark, d)
     s = p.groupBy("y", "x").agg(F.stddev_pop("v").alias("s"))
-    return sky.background(p, s, 2.0, 1, N, N).where("background").groupBy("ext", "y", "x").agg(F.count("*").alias("n"))
+    mean = p.groupBy("frame_idx", "ext").agg(F.avg("v").alias("m"))
+    return sky.background(p, s, 2.0, 1, N, N, mean).where("background").groupBy("ext", "y", "x").agg(F.count("*").alias("n"))
 
 
 @query()
 def background_subtract(spark, d):
+    """What is left of the frames, the background's own pixels being two steps from those over the mean sky by 3 median spreads."""
     p = px(spark, d)
-    s = p.groupBy("y", "x").agg(F.stddev_pop("v").alias("s"))
-    parts, _ = linalg.sky_components(series(p.withColumn("ext", F.lit(0))), 3)
-    mean = p.groupBy("y", "x").agg(F.avg("v").alias("m"))
-    left = sky.subtracted(sky.background(p, s, 3.0, 0, N, N), parts.select("y", "x", F.col("ts").alias("c")), mean, 3)
-    return rounded(sky.validation(left), "min_err", "max_err", "avg_err")
+    stats = sky.statistics(p)
+    left = sky.subtracted(sky.background(p, stats, 3.0, 2, N, N), stats, sky.components(p, 3), 3)
+    return rounded(sky.validation(left), "min_err", "max_err", "avg_err", "min_rms", "max_rms", "avg_rms")
 
 
 @query()

@@ -264,3 +264,101 @@ def test_too_many_of_both_are_refused(long, monkeypatch):
     monkeypatch.setattr(linalg, "MAX_FRAMES", 5)
     with pytest.raises(ValueError, match="more than 5 frames"):
         linalg.klip(long[0], 3)
+
+
+def grown(mask, n):
+    for _ in range(n):
+        p = np.pad(mask, 1)
+        mask = mask | p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:]
+    return mask
+
+
+def sky_left(cube, k, n_sigma, grow, excluded):
+    """The frames less their sky, and the background's pixels, by least squares a frame; missing pixels are NaN."""
+    filled = np.nan_to_num(cube)
+    mean, std = filled.mean(axis=0), filled.std(axis=0)
+    u = np.linalg.svd((filled - mean).reshape(len(cube), -1), full_matrices=False)[2][:k]
+    left, good = np.empty_like(cube), np.empty(cube.shape, bool)
+    for i, f in enumerate(cube):
+        g = good[i] = ~grown((std > np.percentile(std, 90)) | excluded | np.isnan(f) | (f > n_sigma * np.median(std) + mean), grow)
+        fit = np.linalg.lstsq(u[:, g.ravel()].T, (f - mean)[g], rcond=None)[0]
+        left[i] = f - mean - (fit @ u).reshape(f.shape)
+        left[i] -= left[i][g].mean()
+    return left, good
+
+
+@pytest.fixture(scope="module")
+def skies():
+    """Frames of a sky with a slope, so that no frame's mean is near the mean sky, a star in each second one, and missing pixels."""
+    rng, n = np.random.default_rng(5), 12
+    y, x = np.mgrid[:n, :n]
+    cube = 30.0 * y + rng.standard_normal((16, 1, 1)) * np.sin(x / 3) + rng.standard_normal((16, 1, 1)) * y / 8 + 0.1 * rng.standard_normal((16, n, n))
+    cube[::2, 2, 3] += 25
+    cube[3, 7, 7] = cube[5, 10, 1] = np.nan
+    return cube
+
+
+def sky_pixels(spark, cube, ext=0):
+    rows = [(i, ext, None if np.isnan(v) else float(v), y, x) for i, f in enumerate(cube) for (y, x), v in np.ndenumerate(f)]
+    return spark.createDataFrame(rows, "frame_idx long, ext int, v double, y int, x int")
+
+
+@pytest.mark.parametrize("ext", [0, None])
+def test_background_is_over_the_mean_sky_and_left_with_zero_mean(spark, skies, ext):
+    from starloom.plans import sky
+
+    px, n = sky_pixels(spark, skies, ext), skies.shape[1]
+    stats, out = sky.statistics(px), np.zeros((n, n), bool)
+    out[9, 9] = True
+    mask = spark.createDataFrame([(9, 9)], "y int, x int")
+    want, good = sky_left(skies, 2, 3.0, 2, out)
+    got = sky.subtracted(sky.background(px, stats, 3.0, 2, n, n, excluded=mask), stats, sky.components(px, 2), 2).toPandas().sort_values(["frame_idx", "y", "x"])
+    assert len(got) == skies.size and (got["background"].to_numpy().reshape(good.shape) == good).all()
+    assert not good[:, 9, 9].any() and not good[3, 7, 9] and good[:, -1].any()
+    assert np.allclose(got["v"].to_numpy(float).reshape(want.shape), want, equal_nan=True)
+
+
+def test_frame_without_enough_background_is_an_error(spark, skies):
+    from starloom.plans import sky
+
+    bright = skies.copy()
+    bright[4] += 1000
+    px, n = sky_pixels(spark, skies), skies.shape[1]
+    stats = sky.statistics(px)
+    left = sky.subtracted(sky.background(sky_pixels(spark, bright), stats, 3.0, 2, n, n), stats, sky.components(px, 2), 2)
+    with pytest.raises(Exception, match="too few background pixels in frame 4"):
+        left.collect()
+
+
+def test_background_subtract_equals_least_squares(spark):
+    import pandas as pd
+
+    from starloom import catalog
+
+    d = "/root/testdata/sf0.001"
+    cube = np.stack(pd.read_parquet(f"{d}/embeddings.parquet").sort_values("vec_id")["embedding"]).astype(float).reshape(-1, 8, 8)
+    left, good = sky_left(cube, 3, 3.0, 2, np.zeros((8, 8), bool))
+    err, rms = left.std(axis=(1, 2)), [f[g].std() for f, g in zip(left, good, strict=True)]
+    want = {f"{name}_{c}": f(v) for c, v in (("err", err), ("rms", rms)) for name, f in (("min", np.min), ("max", np.max), ("avg", np.mean))}
+    got = catalog.queries()["background_subtract"](spark, d).first().asDict()
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 2e-6 for c in want), (got, want)
+
+
+def test_background_in_more_tasks_than_frames_or_pixels(spark):
+    """Some tasks then have no rows."""
+    from starloom.plans import sky
+
+    cube = np.random.default_rng(6).standard_normal((6, 2, 2))
+    want, good = sky_left(cube, 1, 3.0, 0, np.zeros((2, 2), bool))
+    many = {"spark.sql.shuffle.partitions": "17", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c, None) for c in many}
+    try:
+        for c, v in many.items():
+            spark.conf.set(c, v)
+        px = sky_pixels(spark, cube)
+        stats = sky.statistics(px)
+        got = sky.subtracted(sky.background(px, stats, 3.0, 0, 2, 2), stats, sky.components(px, 1), 1).toPandas().sort_values(["frame_idx", "y", "x"])
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert (got["background"].to_numpy().reshape(good.shape) == good).all() and np.allclose(got["v"].to_numpy().reshape(want.shape), want)
